@@ -24,25 +24,30 @@ def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Seq
     return salted_rows.join(salted_keys, [*keys, "_salt"], how).drop("_salt")
 
 
-def rank_by_hash(rows: DataFrame, keys: Sequence[str], hash_col: str, ties: Sequence[str], out: str = "rank") -> DataFrame:
-    """Exact ``row_number`` per key in hash order.
+def rank_in_ranges(rows: DataFrame, keys: Sequence[str], piece: Column, order: Sequence, out: str = "rank") -> DataFrame:
+    """Exact ``row_number`` per key.
 
-    The leading two hex digits cut each group into 256 even ranges: a window
-    inside a range, plus the number of rows in the lower ranges.
+    ``piece`` must rise with ``order``; it cuts each group into pieces that are
+    ranked on their own, and the sizes of the lower pieces are added.
     """
-    cut = rows.withColumn("_range", F.substring(hash_col, 1, 2))
-    sizes = cut.groupBy(*keys, "_range").agg(F.count("*").alias("_n"))
-    below = W.partitionBy(*keys).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    offsets = sizes.select(*keys, "_range", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"))
-    inside = W.partitionBy(*keys, "_range").orderBy(hash_col, *ties)
+    cut = rows.withColumn("_piece", piece)
+    sizes = cut.groupBy(*keys, "_piece").agg(F.count("*").alias("_n"))
+    below = W.partitionBy(*keys).orderBy("_piece").rowsBetween(W.unboundedPreceding, -1)
+    offsets = sizes.select(*keys, "_piece", F.coalesce(F.sum("_n").over(below), F.lit(0)).alias("_before"))
+    inside = W.partitionBy(*keys, "_piece").orderBy(*order)
     return (
         cut.withColumn("_local", F.row_number().over(inside))
-        .join(offsets, [*keys, "_range"])
+        .join(offsets, [*keys, "_piece"])
         .withColumn(out, (F.col("_before") + F.col("_local")).cast("bigint"))
-        .drop("_range", "_local", "_before")
+        .drop("_piece", "_local", "_before")
     )
 
 
+def rank_by_hash(rows: DataFrame, keys: Sequence[str], hash_col: str, ties: Sequence[str], out: str = "rank") -> DataFrame:
+    """Exact rank per key in hash order; two hex digits give 256 even pieces."""
+    return rank_in_ranges(rows, keys, F.substring(hash_col, 1, 2), [hash_col, *ties], out)
+
+
 def running_before(rows: DataFrame, keys: Sequence[str], order: str, value: Column, out: str, block: int = 4096) -> DataFrame:
     """Maximum of ``value`` over all earlier rows of the group, by blocks of ``order``."""
     cut = rows.withColumn("_block", F.floor(F.col(order) / block)).withColumn("_v", value)
@@ -82,7 +87,7 @@ def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, quantiles:
     tagged = attach(counts, shape, group, ["_v"], salts=salts).withColumn(
         "_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
     ).drop("_cuts")
-    per_range = tagged.groupBy(*group, "_range").agg(F.sum("_n").alias("_size"), F.first("_total").alias("_total"))
+    per_range = tagged.groupBy(*group, "_range").agg(F.sum("_n").alias("_size"), F.max("_total").alias("_total"))
     lower = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
     per_range = per_range.withColumn("_before", F.coalesce(F.sum("_size").over(lower), F.lit(0)))
     ranks = {}
