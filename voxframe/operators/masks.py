@@ -139,3 +139,13 @@ def peak_slice(counts: DataFrame, depth: DataFrame) -> DataFrame:
     return depth.join(top, "case_id", "left").select(
         "case_id", F.coalesce("_top", F.floor(F.col("n_slices") / 2).cast("int")).alias("peak_slice")
     )
+
+
+def adjacency(mask: DataFrame) -> DataFrame:
+    """Each pair of face neighbours once, as an equi-join on shifted coordinates."""
+    steps = F.array(*[F.struct(*[F.lit(int(a == b)).alias(f"d{b}") for b in "xyz"]) for a in "xyz"])
+    shifted = mask.select(*VOXEL, F.explode(steps).alias("s")).select(
+        *VOXEL, *[(F.col(a) + F.col(f"s.d{a}")).alias(f"n{a}") for a in "xyz"]
+    )
+    other = mask.select("case_id", *[F.col(a).alias(f"n{a}") for a in "xyz"])
+    return shifted.join(other, ["case_id", "nx", "ny", "nz"]).select(*VOXEL, "nx", "ny", "nz")

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("metrics",)
+AREAS = ("metrics", "topology")
 
 
 def load_catalog():
