@@ -10,10 +10,11 @@ the mask, is resolved by alternating large-star and small-star joins
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
+from .batches import map_sorted_groups
 from .masks import VOXEL, raster_index
 from .skew import attach
 
@@ -21,22 +22,22 @@ DEFAULT_BLOCK = 64
 LABELLED = "case_id bigint, x int, y int, z int, label bigint"
 
 
-def _label_cells(cells: np.ndarray, ids: np.ndarray, side: int) -> np.ndarray:
-    """Lowest id of each cell's component; ``cells`` are positions in a cube."""
-    where = np.full((side + 1) ** 3, -1, dtype=np.int64)
-    lx, ly, lz = cells[:, 0], cells[:, 1], cells[:, 2]
-    flat = (lx * (side + 1) + ly) * (side + 1) + lz
-    where[flat] = np.arange(len(cells))
+def _lowest_ids(positions: np.ndarray, steps: tuple[int, ...], ids: np.ndarray) -> np.ndarray:
+    """Lowest id of each cell's component.
+
+    ``positions`` are distinct and ascending; cells whose positions differ by
+    one of ``steps`` touch.
+    """
     pairs = []
-    for step in ((side + 1) ** 2, side + 1, 1):
-        other = where[flat + step]
-        hit = np.flatnonzero(other >= 0)
-        pairs.append(np.stack([hit, other[hit]]))
+    for step in steps:
+        at = np.minimum(np.searchsorted(positions, positions + step), len(positions) - 1)
+        hit = np.flatnonzero(positions[at] == positions + step)
+        pairs.append(np.stack([hit, at[hit]]))
     a, b = np.concatenate(pairs, axis=1)
-    parent = np.arange(len(cells))
+    parent = np.arange(len(positions))
     while True:
-        pa, pb = parent[a], parent[b]
-        low, high = np.minimum(pa, pb), np.maximum(pa, pb)
+        pa_, pb = parent[a], parent[b]
+        low, high = np.minimum(pa_, pb), np.maximum(pa_, pb)
         apart = low != high
         if not apart.any():
             break
@@ -46,29 +47,32 @@ def _label_cells(cells: np.ndarray, ids: np.ndarray, side: int) -> np.ndarray:
             if np.array_equal(jumped, parent):
                 break
             parent = jumped
-    lowest = np.full(len(cells), np.iinfo(np.int64).max)
+    lowest = np.full(len(positions), np.iinfo(np.int64).max)
     np.minimum.at(lowest, parent, ids)
     return lowest[parent]
 
 
-def label_within_blocks(mask: DataFrame, ny: int | str, nz: int | str, block: int) -> DataFrame:
-    """Component labels inside each cube; ``ny``/``nz`` are numbers or columns."""
-    side = [n if isinstance(n, str) else F.lit(n) for n in (ny, nz)]
-    side = [F.col(n) if isinstance(n, str) else n for n in side]
+def label_within_blocks(mask: DataFrame, ny: int, nz: int, block: int) -> DataFrame:
+    """Component labels inside each cube of ``block**3`` cells."""
+    side = block + 1  # one spare cell per axis keeps neighbours from wrapping around
+    local = [F.pmod(F.col(a), F.lit(block)).cast("bigint") for a in "xyz"]
     cubes = mask.select(
         *VOXEL,
-        raster_index("x", "y", "z", side[0], side[1]).alias("id"),
+        raster_index("x", "y", "z", F.lit(ny), F.lit(nz)).alias("id"),
         *[F.floor(F.col(a) / block).cast("int").alias(f"b{a}") for a in "xyz"],
+        ((local[0] * side + local[1]) * side + local[2]).alias("cell"),
     )
 
-    def label(pdf: pd.DataFrame) -> pd.DataFrame:
-        cells = np.stack([pdf[a].to_numpy() - pdf[f"b{a}"].to_numpy() * block for a in "xyz"], axis=1).astype(np.int64)
-        labels = _label_cells(cells, pdf["id"].to_numpy(), block)
-        return pd.DataFrame({"case_id": pdf["case_id"], "x": pdf["x"], "y": pdf["y"], "z": pdf["z"], "label": labels})
+    def label(table: pa.Table, starts: np.ndarray):
+        # whole cubes side by side on one axis, so a single pass labels them all
+        cube = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
+        positions = table.column("cell").to_numpy() + cube * (side**3 + side**2)
+        labels = _lowest_ids(positions, (side * side, side, 1), table.column("id").to_numpy())
+        out = table.select(VOXEL).append_column("label", pa.array(labels))
+        yield from out.to_batches()
 
     kind = mask.schema["case_id"].dataType.simpleString()
-    schema = LABELLED.replace("case_id bigint", f"case_id {kind}")
-    return cubes.groupBy("case_id", "bx", "by", "bz").applyInPandas(label, schema)
+    return map_sorted_groups(cubes, ["case_id", "bx", "by", "bz"], ["cell"], LABELLED.replace("bigint", kind, 1), label)
 
 
 def _face_edges(labelled: DataFrame, block: int) -> DataFrame:
@@ -116,7 +120,7 @@ def resolve_graph(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     return current.select("case_id", F.col("u").alias("label"), F.col("v").alias("root"))
 
 
-def connected_components(mask: DataFrame, ny: int | str, nz: int | str, block: int = DEFAULT_BLOCK) -> DataFrame:
+def connected_components(mask: DataFrame, ny: int, nz: int, block: int = DEFAULT_BLOCK) -> DataFrame:
     """``(case_id, x, y, z, label)`` with the lowest raster index as label."""
     labelled = cut_lineage(label_within_blocks(mask, ny, nz, block))
     edges = _face_edges(labelled, block)

@@ -10,46 +10,79 @@ voxel pairs are formed.
 from __future__ import annotations
 
 import numpy as np
-import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..session import cut_lineage
+from .batches import map_sorted_groups
 from .masks import surface
 from .skew import attach, exact_quantiles
 
 EMPTY_PENALTY_MM = 100.0
 
 
-def _plane_profile(pdf: pd.DataFrame) -> pd.DataFrame:
-    """Squared in-plane distance to the target voxels of one x plane, per z row."""
-    first = pdf.iloc[0]
-    y0, y1, z0, z1 = int(first.y0), int(first.y1), int(first.z0), int(first.z1)
-    sy, sz = float(first.sy), float(first.sz)
-    ys, zs = np.arange(y0, y1 + 1), np.arange(z0, z1 + 1)
-    best = np.full((len(zs), len(ys)), np.inf)
-    for y, rows in pdf.groupby("y", sort=False)["z"]:
-        targets = np.sort(rows.to_numpy())
-        at = np.searchsorted(targets, zs)
-        below = np.abs(zs - targets[np.maximum(at - 1, 0)])
-        above = np.abs(targets[np.minimum(at, len(targets) - 1)] - zs)
-        along_z = (np.minimum(below, above) * sz) ** 2
-        np.minimum(best, along_z[:, None] + ((ys - int(y)) * sy)[None, :] ** 2, out=best)
-    return pd.DataFrame(
-        {"case_id": first.case_id, "direction": first.direction, "x": int(first.x), "z": zs.astype(np.int32), "profile": list(best)}
-    )
-
-
-def _across_planes(planes: pd.DataFrame, queries: pd.DataFrame) -> pd.DataFrame:
-    """Nearest distance of the queries at one z over all target planes."""
-    if planes.empty or queries.empty:
-        return pd.DataFrame({"case_id": [], "direction": [], "distance": []})
-    first = queries.iloc[0]
-    y0, sx = int(first.y0), float(first.sx)
-    qx, qy = queries["x"].to_numpy(), queries["y"].to_numpy() - y0
-    best = np.full(len(queries), np.inf)
-    for x, profile in zip(planes["x"].to_numpy(), planes["profile"]):
-        np.minimum(best, np.asarray(profile)[qy] + ((qx - x) * sx) ** 2, out=best)
-    return pd.DataFrame({"case_id": queries["case_id"].to_numpy(), "direction": queries["direction"].to_numpy(), "distance": np.sqrt(best)})
+_MAX_CELLS = 4_000_000
+
+
+def _column(table: pa.Table, name: str) -> np.ndarray:
+    return table.column(name).to_numpy()
+
+
+def _plane_profile(ys, zs, y0, y1, z0, z1, sy, sz) -> np.ndarray:
+    """Squared in-plane distance to one x plane's targets, for every (z, y) of the window."""
+    grid_y, grid_z = np.arange(y0, y1 + 1), np.arange(z0, z1 + 1)
+    best = np.full((len(grid_z), len(grid_y)), np.inf)
+    cuts = np.append(np.flatnonzero(np.diff(ys, prepend=ys[0] - 1)), len(ys))
+    for start, stop in zip(cuts[:-1], cuts[1:]):
+        row = zs[start:stop]
+        at = np.searchsorted(row, grid_z)
+        gap = np.minimum(np.abs(grid_z - row[np.maximum(at - 1, 0)]), np.abs(row[np.minimum(at, len(row) - 1)] - grid_z))
+        np.minimum(best, ((gap * sz) ** 2)[:, None] + (((grid_y - ys[start]) * sy) ** 2)[None, :], out=best)
+    return best
+
+
+def _profiles(table: pa.Table, starts: np.ndarray):
+    ends = np.append(starts[1:], table.num_rows)
+    cols = {c: _column(table, c) for c in ("x", "y", "z", "y0", "y1", "z0", "z1", "sy", "sz")}
+    for start, end in zip(starts, ends):
+        window = [cols[c][start] for c in ("y0", "y1", "z0", "z1", "sy", "sz")]
+        best = _plane_profile(cols["y"][start:end], cols["z"][start:end], *window)
+        n, width = best.shape
+        head = table.slice(start, 1).combine_chunks()
+        yield pa.RecordBatch.from_arrays(
+            [
+                pa.array(np.repeat(_column(head, "case_id"), n), head.schema.field("case_id").type),
+                pa.array(np.repeat(_column(head, "direction"), n), pa.string()),
+                pa.array(np.arange(window[2], window[3] + 1, dtype=np.int32)),
+                pa.array(np.full(n, cols["x"][start], dtype=np.int32)),
+                pa.array(np.full(n, -1, dtype=np.int32)),
+                pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(best.ravel())),
+            ],
+            names=["case_id", "direction", "z", "x", "y", "profile"],
+        )
+
+
+def _nearest(table: pa.Table, starts: np.ndarray):
+    """Rows with ``y = -1`` are profiles and precede the queries of their group."""
+    ends = np.append(starts[1:], table.num_rows)
+    xs, ys, y0, sx = (_column(table, c) for c in ("x", "y", "y0", "sx"))
+    profiles = table.column("profile").combine_chunks()
+    profiles = profiles.chunk(0) if isinstance(profiles, pa.ChunkedArray) else profiles
+    distances = np.full(table.num_rows, np.nan)
+    for start, end in zip(starts, ends):
+        first = start + int(np.searchsorted(ys[start:end], 0))
+        if first == start or first == end:
+            continue
+        planes = profiles.slice(start, first - start)
+        matrix = planes.flatten().to_numpy().reshape(first - start, -1)
+        step = max(1, _MAX_CELLS // len(matrix))
+        for at in range(first, end, step):
+            stop = min(end, at + step)
+            across = ((xs[None, at:stop] - xs[start:first, None]) * sx[at]) ** 2
+            distances[at:stop] = np.sqrt((matrix[:, ys[at:stop] - int(y0[at])] + across).min(axis=0))
+    hit = pa.array(~np.isnan(distances))
+    out = table.select(["case_id", "direction"]).append_column("distance", pa.array(distances)).filter(hit)
+    yield from out.to_batches()
 
 
 def surface_distances(mask: DataFrame, spacing: DataFrame) -> DataFrame:
@@ -77,12 +110,13 @@ def surface_distances(mask: DataFrame, spacing: DataFrame) -> DataFrame:
     targets = roles.where("target = 1 and y0 is not null").select("case_id", "direction", "x", "y", "z", "y0", "y1", "z0", "z1", "sy", "sz")
     queries = roles.where(open_query).select("case_id", "direction", "x", "y", "z", "y0", "sx")
     kind = mask.schema["case_id"].dataType.simpleString()
-    profiles = targets.groupBy("case_id", "direction", "x").applyInPandas(
-        _plane_profile, f"case_id {kind}, direction string, x int, z int, profile array<double>"
+    profiles = map_sorted_groups(
+        targets, ["case_id", "direction", "x"], ["y", "z"],
+        f"case_id {kind}, direction string, z int, x int, y int, profile array<double>", _profiles,
     )
-    keys = ["case_id", "direction", "z"]
-    outside = profiles.groupBy(*keys).cogroup(queries.groupBy(*keys)).applyInPandas(
-        _across_planes, f"case_id {kind}, direction string, distance double"
+    meeting = profiles.unionByName(queries, allowMissingColumns=True)
+    outside = map_sorted_groups(
+        meeting, ["case_id", "direction", "z"], ["y"], f"case_id {kind}, direction string, distance double", _nearest
     )
     return cut_lineage(outside.unionByName(inside))
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("metrics", "topology")
+AREAS = ("metrics", "topology", "splitting")
 
 
 def load_catalog():

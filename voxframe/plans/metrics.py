@@ -6,6 +6,7 @@ from pyspark.sql import functions as F
 
 from ..functions import scalars
 from ..operators import evaluate, masks, overlap, reports, sweep
+from ..session import cut_lineage
 from . import fixtures as fx
 from .catalog import query, with_ctes
 
@@ -70,6 +71,11 @@ def mask(spark, sf):
     return masks.pair_from_scores(fx.scored_voxels(spark, sf))
 
 
+def full_metrics(spark, sf):
+    """The whole bundle; the paired mask feeds several branches, so it is written once."""
+    return evaluate.case_metrics(cut_lineage(mask(spark, sf)), fx.voxel_cases(spark, sf))
+
+
 def confusion(spark, sf):
     return overlap.confusion(mask(spark, sf), fx.voxel_cases(spark, sf))
 
@@ -127,12 +133,12 @@ def _(spark, sf):
 
 @query("a09_case_metrics", with_ctes(*FULL, body="select * from full_met"))
 def _(spark, sf):
-    return evaluate.case_metrics(mask(spark, sf), fx.voxel_cases(spark, sf))
+    return full_metrics(spark, sf)
 
 
 @query("a10_macro_average", with_ctes(*FULL, body="select " + ", ".join(f"avg({c}) as {c}" for c in evaluate.METRIC_COLUMNS) + " from full_met"))
 def _(spark, sf):
-    return overlap.macro_average(evaluate.case_metrics(mask(spark, sf), fx.voxel_cases(spark, sf)), evaluate.METRIC_COLUMNS)
+    return overlap.macro_average(full_metrics(spark, sf), evaluate.METRIC_COLUMNS)
 
 
 _MICRO = """pool as (select cast(sum(tp) as bigint) as tp, cast(sum(fp) as bigint) as fp, cast(sum(fn) as bigint) as fn, cast(sum(tn) as bigint) as tn from conf4)"""
@@ -198,7 +204,7 @@ _LONG = " union all ".join(f"select tumor_category, '{m}' as metric, {m} as valu
  case when count(value) > 0 then avg(case when is_failure then 100.0::double else 0.0::double end) end as failure_rate_pct
  from frame left join long on long.tumor_category = frame.tumor_category and long.metric = frame.metric group by 1, 2"""))
 def _(spark, sf):
-    metrics = evaluate.case_metrics(mask(spark, sf), fx.voxel_cases(spark, sf))
+    metrics = full_metrics(spark, sf)
     return reports.stratified_report(evaluate.with_category(metrics, categories(spark, sf)))
 
 
@@ -207,7 +213,7 @@ def _(spark, sf):
  count(*) filter (is_failure) as failure_count, count(*) filter (is_failure) * 100.0::double / count(*) as failure_rate_percent,
  count(*) filter (gt_empty) as gt_empty_count, count(*) filter (pred_empty) as pred_empty_count, median(dice_3d) as median_dice_3d from full_met"""))
 def _(spark, sf):
-    return reports.run_summary(evaluate.case_metrics(mask(spark, sf), fx.voxel_cases(spark, sf)))
+    return reports.run_summary(full_metrics(spark, sf))
 
 
 @query("a17_fast_dice", with_ctes(fx.F1, """s as (select case_id, sum(case when prob > 0.5 and gt = 1 then 1 else 0 end) as ih, sum(case when prob > 0.5 then 1 else 0 end) as ph,
@@ -307,7 +313,7 @@ def _(spark, sf):
 @query("snk01_case_metrics", with_ctes(*FULL, CATS, body="""select case_id, coalesce(tumor_category, 'unknown') as tumor_category, dice_3d, iou_3d, sensitivity_3d, precision_3d, specificity_3d,
  hd95_3d, asd_3d, fp_components, is_failure, cast(null as double) as inference_time_sec from full_met left join cats using (case_id) order by case_id"""))
 def _(spark, sf):
-    metrics = evaluate.case_metrics(mask(spark, sf), fx.voxel_cases(spark, sf))
+    metrics = full_metrics(spark, sf)
     return evaluate.export_frame(metrics, categories(spark, sf))
 
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..operators import components, distance, evaluate, geometry, masks, overlap, reports
+from ..session import cut_lineage
 from . import fixtures as fx
 from .catalog import query, with_ctes
 from .metrics import BASE, CONF, FLAGS, FULL, MET, NB, PCOMP, PRED, components_sql, distance_sql, hd_asd_sql, mask
@@ -80,7 +81,7 @@ _PP = (*FULL, _FATE, "kept as (select p.case_id, p.x, p.y, p.z, p.label from pco
 
 @query("c05_pp_metrics", with_ctes(*_PP, body="select * from pp"))
 def _(spark, sf):
-    both, _ = evaluate.evaluate(mask(spark, sf), fx.voxel_cases(spark, sf))
+    both, _ = evaluate.evaluate(cut_lineage(mask(spark, sf)), fx.voxel_cases(spark, sf))
     drop = {"pp_tp", "pp_fp", "pp_fn", "pp_tn"}
     return both.select("case_id", *[c for c in both.columns if c.startswith("pp_") and c not in drop])
 
@@ -92,7 +93,7 @@ _DELTA = " union all ".join(f"select '{m}' as metric, avg({m}) as raw, avg(pp_{m
     f"rows_ as ({_DELTA} union all select 'failures', count(*) filter (is_failure), count(*) filter (pp_is_failure) from both_sets)",
     body="select metric, raw, filtered, filtered - raw as delta, (select avg(pp_components_removed) from both_sets) as mean_removed from rows_"))
 def _(spark, sf):
-    both, _ = evaluate.evaluate(mask(spark, sf), fx.voxel_cases(spark, sf))
+    both, _ = evaluate.evaluate(cut_lineage(mask(spark, sf)), fx.voxel_cases(spark, sf))
     return reports.postproc_delta(both)
 
 
@@ -110,7 +111,7 @@ def _(spark, sf):
 @query("s06_export_columns", with_ctes(*_PP, body="select case_id, dice_3d, null::double as pp_dice_3d from full_met where case_id % 2 = 0 union all select case_id, dice_3d, pp_dice_3d from full_met join pp using (case_id) where case_id % 2 = 1"))
 def _(spark, sf):
     """Runs with and without filtered columns under one schema."""
-    both, _ = evaluate.evaluate(mask(spark, sf), fx.voxel_cases(spark, sf))
+    both, _ = evaluate.evaluate(cut_lineage(mask(spark, sf)), fx.voxel_cases(spark, sf))
     plain = both.where("case_id % 2 = 0").select("case_id", "dice_3d")
     return plain.unionByName(both.where("case_id % 2 = 1").select("case_id", "dice_3d", "pp_dice_3d"), allowMissingColumns=True)
 
