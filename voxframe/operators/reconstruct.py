@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, functions as F
+from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import orientation as ori
 from ..functions import scalars
@@ -25,7 +25,7 @@ def _plane_matrix(prepared: int, cropped: int, offset: int, resampled: int, cano
     return final @ paste @ back
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _unplane(pixels: pd.Series, size: pd.DataFrame, box: pd.DataFrame) -> pd.Series:
     keys = pd.concat([size, box], axis=1)
     out = pd.Series([None] * len(pixels), index=pixels.index, dtype=object)

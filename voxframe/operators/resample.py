@@ -10,7 +10,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, functions as F, types as T
 
 
 def output_length(n: Column, zoom: Column) -> Column:
@@ -57,12 +57,12 @@ def _resize_batch(pixels: pd.Series, dims: pd.DataFrame, order: int) -> pd.Serie
     return out
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _resize_linear(pixels: pd.Series, h: pd.Series, w: pd.Series, h2: pd.Series, w2: pd.Series) -> pd.Series:
     return _resize_batch(pixels, pd.DataFrame({"h": h, "w": w, "h2": h2, "w2": w2}), 1)
 
 
-@F.pandas_udf("array<double>")
+@F.pandas_udf(T.ArrayType(T.DoubleType()))
 def _resize_nearest(pixels: pd.Series, h: pd.Series, w: pd.Series, h2: pd.Series, w2: pd.Series) -> pd.Series:
     return _resize_batch(pixels, pd.DataFrame({"h": h, "w": w, "h2": h2, "w2": w2}), 0)
 

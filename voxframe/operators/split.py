@@ -124,23 +124,22 @@ def adjust_split(split: DataFrame, n_train: Column, n_val: Column, n_test: Colum
 
 
 def validate_split(split: DataFrame, cases: DataFrame, targets: DataFrame) -> DataFrame:
-    """One row of checks: no overlap, nothing missing or foreign, exact sizes.
+    """Counts of violations: overlap, missing or foreign cases, wrong sizes.
 
-    ``split`` may list a case several times; ``targets`` is ``(split, target)``.
+    One grouping over the memberships and the known cases answers the three
+    set checks; ``targets`` is ``(split, target)``.
     """
-    ids = {s: split.where(F.col("split") == s).select("case_id") for s in SPLITS}
-    everything = split.select("case_id").distinct()
-    known = cases.select("case_id").distinct()
-    overlap = ids["train"].intersect(ids["val"]).union(ids["train"].intersect(ids["test"])).union(ids["val"].intersect(ids["test"]))
-    parts = {
-        "overlapping": overlap,
-        "missing": known.exceptAll(everything),
-        "foreign": everything.exceptAll(known),
-    }
-    counted = None
-    for name, df in parts.items():
-        one = df.agg(F.count("*").alias("n")).select(F.lit(name).alias("check"), "n")
-        counted = one if counted is None else counted.unionByName(one)
+    member = [F.max((F.col("split") == s).cast("int")).alias(s) for s in SPLITS]
+    both = split.select("case_id", "split", F.lit(0).alias("known")).unionByName(
+        cases.select("case_id", F.lit(None).cast("string").alias("split"), F.lit(1).alias("known"))
+    )
+    per_case = both.groupBy("case_id").agg(F.max("known").alias("known"), *member).fillna(0, list(SPLITS))
+    lists = sum((F.col(s) for s in SPLITS), F.lit(0))
+    checks = per_case.agg(
+        F.count_if(lists > 1).alias("overlapping"),
+        F.count_if((lists == 0) & (F.col("known") == 1)).alias("missing"),
+        F.count_if((lists > 0) & (F.col("known") == 0)).alias("foreign"),
+    )
     sizes = targets.join(split.groupBy("split").agg(F.count("*").alias("size")), "split", "left").fillna(0, ["size"])
     wrong = sizes.agg(F.count_if(F.col("size") != F.col("target")).alias("n")).select(F.lit("wrong_size").alias("check"), "n")
-    return counted.unionByName(wrong)
+    return checks.unpivot([], ["overlapping", "missing", "foreign"], "check", "n").unionByName(wrong)

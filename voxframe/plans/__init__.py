@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("metrics", "topology", "splitting")
+AREAS = ("metrics", "topology", "splitting", "auditing", "runs")
 
 
 def load_catalog():

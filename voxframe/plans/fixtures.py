@@ -131,8 +131,7 @@ def history(spark: SparkSession, sf_dir: str) -> DataFrame:
         (F.col("value") / 500).alias("score"),
         F.when(F.col("event_type") == "error", 1).otherwise(0).alias("nonfinite"),
     )
-    hour = F.floor(F.unix_micros("ts") / 3_600_000_000)
-    ranked = rank_in_ranges(events, ["run_id"], hour, ["ts", "event_id"], "epoch")
+    ranked = rank_in_ranges(events, ["run_id"], F.col("ts").cast("date"), ["ts", "event_id"], "epoch")
     return ranked.select("run_id", F.col("epoch").cast("int").alias("epoch"), "score", "nonfinite")
 
 

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import reports, sampling, split
 from ..operators.skew import attach
+from ..session import cut_lineage
 from . import fixtures as fx
 from .catalog import query, with_ctes
 
@@ -85,7 +86,7 @@ def _(spark, sf):
     a, b, c = targets(cases)
     names = F.explode(F.array(*[F.struct(F.lit(s).alias("split"), t.alias("target")) for s, t in zip(split.SPLITS, (a, b, c))]))
     wanted = spark.range(1).select(names.alias("r")).select("r.split", "r.target")
-    return split.validate_split(final_split(spark, sf), cases, wanted)
+    return split.validate_split(cut_lineage(final_split(spark, sf)), cases, wanted)
 
 
 _CATN = ", ".join(f"count(*) filter (tumor_category = '{c}') as n_{c}" for c in scalars.SIZE_CLASSES)
@@ -95,7 +96,7 @@ _CATP = ", ".join(f"count(*) filter (tumor_category = '{c}') * 100.0::double / c
 @query("a25_split_summary", with_ctes(*_SP, ADJUST, body=f"""select split, count(*) as n, min(volume) as volume_min, avg(volume) as volume_mean, max(volume) as volume_max, min(positive_slices) as pos_min,
  avg(positive_slices) as pos_mean, max(positive_slices) as pos_max, {_CATN}, median(volume) as volume_median, {_CATP} from fin group by 1"""))
 def _(spark, sf):
-    return reports.split_summary(final_split(spark, sf))
+    return reports.split_summary(cut_lineage(final_split(spark, sf)))
 
 
 @query("a25_split_cube", with_ctes(*_SP, ADJUST, body="select coalesce(split, 'all') as split, coalesce(tumor_category, 'all') as tumor_category, count(*) as n, cast(sum(positive_slices) as bigint) as positive_slices from fin group by cube (split, tumor_category)"))
