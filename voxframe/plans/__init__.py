@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("metrics", "topology", "splitting", "auditing", "runs")
+AREAS = ("metrics", "topology", "splitting", "auditing", "runs", "dense")
 
 
 def load_catalog():
