@@ -15,38 +15,40 @@ def _cell(matrix: Column, row: int, col: int) -> Column:
     return F.element_at(F.element_at(matrix, row + 1), col + 1)
 
 
+def _let(value: Column, body) -> Column:
+    """Bind an expression once, so that it is not repeated where it is used."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def orientation(affine: Column) -> Column:
     """Each input axis goes to the world axis its column points along most.
 
-    Defined for axis-aligned affines; a column without a unique largest entry,
-    or two columns that pick the same world axis, raises.
+    Defined for axis-aligned affines; two columns that pick the same world axis
+    raise an error.
     """
 
-    def axis(col: int) -> Column:
-        size = [F.abs(_cell(affine, r, col)) for r in AXES]
-        top = F.greatest(*size)
-        out = F.when(size[0] == top, 0).when(size[1] == top, 1).otherwise(2)
-        return F.array(out, F.when(F.element_at(F.array(*[_cell(affine, r, col) for r in AXES]), out + 1) < 0, -1).otherwise(1))
+    def axis(column: Column) -> Column:
+        size = F.transform(column, lambda v: F.abs(v))
+        out = (F.array_position(size, F.array_max(size)) - 1).cast("int")
+        return _let(out, lambda o: F.array(o, F.when(F.element_at(column, o + 1) < 0, -1).otherwise(1)))
 
-    pairs = F.array(*[axis(c) for c in AXES])
-    targets = F.transform(pairs, lambda p: F.element_at(p, 1))
-    return F.when(F.size(F.array_distinct(targets)) == 3, pairs).otherwise(
-        F.raise_error(F.lit("oblique affine: two axes map to the same world axis")).cast("array<array<int>>")
-    )
+    def pairs(m: Column) -> Column:
+        columns = F.array(*[F.array(*[_cell(m, r, c) for r in AXES]) for c in AXES])
+        return F.transform(columns, axis)
 
+    def checked(found: Column) -> Column:
+        targets = F.array_distinct(F.transform(found, lambda p: F.element_at(p, 1)))
+        oblique = F.raise_error(F.lit("oblique affine: two axes map to the same world axis")).cast("array<array<int>>")
+        return F.when(F.size(targets) == 3, found).otherwise(oblique)
 
-def axis_codes(affine: Column) -> Column:
-    """Letters of the positive direction of each input axis, e.g. ``LAS``."""
-    ornt = orientation(affine)
+    return _let(_let(affine, pairs), checked)
 
-    def letter(i: int) -> Column:
-        out = F.element_at(F.element_at(ornt, i + 1), 1)
-        flip = F.element_at(F.element_at(ornt, i + 1), 2)
-        return F.when(flip == 1, F.element_at(F.array(*map(F.lit, "RAS")), out + 1)).otherwise(
-            F.element_at(F.array(*map(F.lit, "LPI")), out + 1)
-        )
 
-    return F.concat(*[letter(i) for i in AXES])
+def axis_codes(affine: Column) -> Column:
+    """Letters of the positive direction of each input axis, e.g. ``LAS``."""
+    letters = F.array(*map(F.lit, "RASLPI"))
+    code = lambda p: F.element_at(letters, F.element_at(p, 1) + F.when(F.element_at(p, 2) == 1, 1).otherwise(4))
+    return F.array_join(F.transform(orientation(affine), code), "")
 
 
 def invert_orientation(ornt: Column) -> Column:
@@ -71,21 +73,19 @@ def permute_axes(values: Column, ornt: Column) -> Column:
 def inverse_orientation_affine(ornt: Column, shape: Column) -> Column:
     """Affine that takes reoriented voxel indices back to the original ones."""
 
-    def row(i: int) -> Column:
-        out = F.element_at(F.element_at(ornt, i + 1), 1)
-        flip = F.element_at(F.element_at(ornt, i + 1), 2).cast("double")
-        cells = [F.when(out == c, flip).otherwise(F.lit(0.0)) for c in AXES]
-        last = F.element_at(shape, i + 1).cast("double") - 1.0
-        return F.array(*cells, F.when(flip < 0, last).otherwise(F.lit(0.0)))
+    def row(pair: Column, size: Column) -> Column:
+        flip = F.element_at(pair, 2).cast("double")
+        cells = [F.when(F.element_at(pair, 1) == c, flip).otherwise(F.lit(0.0)) for c in AXES]
+        return F.array(*cells, F.when(flip < 0, size.cast("double") - 1.0).otherwise(F.lit(0.0)))
 
-    return F.array(*[row(i) for i in AXES], F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0))))
+    return F.concat(F.zip_with(ornt, shape, row), F.array(F.array(*map(F.lit, (0.0, 0.0, 0.0, 1.0)))))
 
 
 def matmul4(left: Column, right: Column) -> Column:
-    def cell(r, c):
-        return sum((_cell(left, r, k) * _cell(right, k, c) for k in range(1, 4)), _cell(left, r, 0) * _cell(right, 0, c))
-
-    return F.array(*[F.array(*[cell(r, c) for c in range(4)]) for r in range(4)])
+    """Product of two 4x4 matrices."""
+    columns = lambda m: F.transform(F.sequence(F.lit(1), F.lit(4)), lambda c: F.transform(m, lambda r: F.element_at(r, c)))
+    dot = lambda a, b: F.aggregate(F.zip_with(a, b, lambda x, y: x * y), F.lit(0.0), lambda acc, v: acc + v)
+    return _let(_let(right, columns), lambda cols: F.transform(left, lambda r: F.transform(cols, lambda c: dot(r, c))))
 
 
 def canonical_affine(affine: Column, shape: Column, ornt: Column) -> Column:
