@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..session import cut_lineage
 from .components import component_fate, connected_components, filter_components, fp_components, removed_components
 from .distance import asd, hd95, surface_distances
 from .masks import align_masks
@@ -30,7 +31,9 @@ def case_metrics(mask: DataFrame, cases: DataFrame, surface_metrics: bool = True
         nan = F.lit(float("nan"))
         return metrics.withColumn("hd95_3d", nan).withColumn("asd_3d", nan)
     distances = surface_distances(mask, cases)
-    return metrics.join(hd95(distances, cases), "case_id").join(asd(distances, cases), "case_id")
+    metrics = metrics.join(hd95(distances, cases), "case_id").join(asd(distances, cases), "case_id")
+    # one short row per case that every report reads several times
+    return cut_lineage(metrics)
 
 
 def label_predictions(mask: DataFrame, cases: DataFrame) -> DataFrame:

@@ -80,14 +80,11 @@ def reconstruct(slices: DataFrame, metadata: DataFrame, threshold: float = 0.5,
         "case_id", F.floor(F.col("p") / F.col("width")).cast("int").alias("x"), (F.col("p") % F.col("width")).cast("int").alias("y"),
         F.col("slice_idx").cast("int").alias("z"), "prob",
     )
-    # the restored shape must be the original one
+    # the restored shape must be the original one; a filter, so that no plan drops the check
     expected = ori.permute_axes(F.col("original_shape"), F.col("ornt"))
-    geometry = metadata.select(
-        "case_id", "ornt",
-        F.when(expected == F.col("canonical_shape"), F.col("original_shape")).otherwise(
-            F.raise_error(F.concat(F.lit("reconstructed shape differs from the original for "), F.col("case_id").cast("string"))).cast("array<int>")
-        ).alias("shape"),
-    )
+    refused = F.raise_error(F.concat(F.lit("reconstructed shape differs from the original for "), F.col("case_id").cast("string")))
+    fits = F.when(expected == F.col("canonical_shape"), F.lit(True)).otherwise(refused.cast("boolean"))
+    geometry = metadata.where(fits).select("case_id", "ornt", F.col("original_shape").alias("shape"))
     restored = restore_orientation(voxels, geometry)
     return restored.select("case_id", "x", "y", "z") if binarize else restored
 
@@ -118,9 +115,12 @@ def preprocess(images: DataFrame, labels: DataFrame, size: tuple[int, int] = (19
         height, width = F.element_at("cropped_shape", 1), F.element_at("cropped_shape", 2)
         line = lambda r: F.slice("pixels", r * F.col("width") + F.col("crop_bbox.y_min") + 1, width)
         rows_of = F.sequence(F.col("crop_bbox.x_min"), F.col("crop_bbox.x_max") - 1)
+        # the lines are cut before the new width exists: inside a lambda a name
+        # would resolve to the alias of the same projection
+        rows = rows.withColumn("_cut", F.flatten(F.transform(rows_of, line)))
         return rows.select(
             "case_id", (F.col("slice_idx") - F.col("crop_bbox.z_min")).cast("int").alias("slice_idx"),
-            height.alias("height"), width.alias("width"), F.flatten(F.transform(rows_of, line)).alias("pixels"),
+            height.alias("height"), width.alias("width"), F.col("_cut").alias("pixels"),
         )
 
     windowed = cut(image).withColumn("pixels", scalars.hu_window(F.col("pixels")))
