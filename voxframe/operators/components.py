@@ -76,18 +76,21 @@ def label_within_blocks(mask: DataFrame, ny: int, nz: int, block: int) -> DataFr
 
 
 def _face_edges(labelled: DataFrame, block: int) -> DataFrame:
-    """Pairs of labels that touch across a cube face."""
-    upper, lower = [], []
+    """Pairs of labels that touch across a cube face.
+
+    A voxel on a lower face reports at its own place, one on an upper face at
+    the place of its neighbour; where both reports meet, the labels touch.
+    """
+    reports = []
     for axis in "xyz":
-        on_low = labelled.where(F.pmod(F.col(axis), F.lit(block)) == 0)
-        on_high = labelled.where(F.pmod(F.col(axis), F.lit(block)) == block - 1)
-        lower.append(on_low.select(F.lit(axis).alias("axis"), *VOXEL, F.col("label").alias("label_b")))
-        upper.append(on_high.select(F.lit(axis).alias("axis"), "case_id",
-                                    *[(F.col(a) + 1 if a == axis else F.col(a)).alias(a) for a in "xyz"],
-                                    F.col("label").alias("label_a")))
-    low = lower[0].unionByName(lower[1]).unionByName(lower[2])
-    high = upper[0].unionByName(upper[1]).unionByName(upper[2])
-    return high.join(low, ["axis", *VOXEL]).select("case_id", F.col("label_a").alias("a"), F.col("label_b").alias("b")).distinct()
+        inner = F.pmod(F.col(axis), F.lit(block))
+        beyond = [(F.col(a) + 1 if a == axis else F.col(a)).alias(a) for a in "xyz"]
+        none = F.lit(None).cast("bigint")
+        reports.append(F.when(inner == 0, F.struct(F.lit(axis).alias("axis"), *[F.col(a) for a in "xyz"], F.col("label").alias("a"), none.alias("b"))))
+        reports.append(F.when(inner == block - 1, F.struct(F.lit(axis).alias("axis"), *beyond, none.alias("a"), F.col("label").alias("b"))))
+    faces = labelled.select("case_id", F.explode(F.filter(F.array(*reports), lambda r: r.isNotNull())).alias("r")).select("case_id", "r.*")
+    met = faces.groupBy("case_id", "axis", "x", "y", "z").agg(F.max("a").alias("a"), F.max("b").alias("b"))
+    return met.where("a is not null and b is not null").select("case_id", "a", "b").distinct()
 
 
 def resolve_graph(edges: DataFrame, max_rounds: int = 64) -> DataFrame:

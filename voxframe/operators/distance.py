@@ -28,9 +28,9 @@ def _column(table: pa.Table, name: str) -> np.ndarray:
     return table.column(name).to_numpy()
 
 
-def _plane_profile(ys, zs, y0, y1, z0, z1, sy, sz) -> np.ndarray:
-    """Squared in-plane distance to one x plane's targets, for every (z, y) of the window."""
-    grid_y, grid_z = np.arange(y0, y1 + 1), np.arange(z0, z1 + 1)
+def _plane_profile(ys, zs, grid_z, y0, y1, sy, sz) -> np.ndarray:
+    """Squared in-plane distance to one x plane's targets, for every queried z and the y window."""
+    grid_y = np.arange(y0, y1 + 1)
     best = np.full((len(grid_z), len(grid_y)), np.inf)
     cuts = np.append(np.flatnonzero(np.diff(ys, prepend=ys[0] - 1)), len(ys))
     for start, stop in zip(cuts[:-1], cuts[1:]):
@@ -43,17 +43,18 @@ def _plane_profile(ys, zs, y0, y1, z0, z1, sy, sz) -> np.ndarray:
 
 def _profiles(table: pa.Table, starts: np.ndarray):
     ends = np.append(starts[1:], table.num_rows)
-    cols = {c: _column(table, c) for c in ("x", "y", "z", "y0", "y1", "z0", "z1", "sy", "sz")}
+    cols = {c: _column(table, c) for c in ("x", "y", "z", "y0", "y1", "sy", "sz")}
+    wanted = table.column("query_z")
     for start, end in zip(starts, ends):
-        window = [cols[c][start] for c in ("y0", "y1", "z0", "z1", "sy", "sz")]
-        best = _plane_profile(cols["y"][start:end], cols["z"][start:end], *window)
+        grid_z = np.asarray(wanted[int(start)].as_py(), dtype=np.int32)
+        best = _plane_profile(cols["y"][start:end], cols["z"][start:end], grid_z, *[cols[c][start] for c in ("y0", "y1", "sy", "sz")])
         n, width = best.shape
         head = table.slice(start, 1).combine_chunks()
         yield pa.RecordBatch.from_arrays(
             [
                 pa.array(np.repeat(_column(head, "case_id"), n), head.schema.field("case_id").type),
                 pa.array(np.repeat(_column(head, "direction"), n), pa.string()),
-                pa.array(np.arange(window[2], window[3] + 1, dtype=np.int32)),
+                pa.array(grid_z),
                 pa.array(np.full(n, cols["x"][start], dtype=np.int32)),
                 pa.array(np.full(n, -1, dtype=np.int32)),
                 pa.ListArray.from_arrays(pa.array(np.arange(0, n * width + 1, width, dtype=np.int32)), pa.array(best.ravel())),
@@ -92,22 +93,23 @@ def surface_distances(mask: DataFrame, spacing: DataFrame) -> DataFrame:
     is a surface voxel, so only surfaces are searched. Cases with an empty mask
     give no rows. ``spacing`` is one row ``(case_id, sx, sy, sz)`` per case.
     """
-    skin = surface(mask)
+    skin = cut_lineage(surface(mask))  # read by every branch below
     q = F.explode(F.array(
         F.struct(F.lit("p2g").alias("direction"), F.col("pred_surface").alias("query"), F.col("in_gt").alias("inside"), F.col("gt_surface").alias("target")),
         F.struct(F.lit("g2p").alias("direction"), F.col("gt_surface").alias("query"), F.col("in_pred").alias("inside"), F.col("pred_surface").alias("target")),
     ))
     roles = skin.withColumn("r", q).select("case_id", "x", "y", "z", "r.direction", "r.query", "r.inside", "r.target")
     open_query = (F.col("query") == 1) & (F.col("inside") == 0)
-    # extent of the open queries per case, and which sides exist at all
+    # where the open queries lie (their z values number at most the depth), and which sides exist
     extent = roles.groupBy("case_id", "direction").agg(
-        *[f(F.when(open_query, F.col(a))).alias(f"{a}{n}") for a in "yz" for n, f in (("0", F.min), ("1", F.max))],
+        *[f(F.when(open_query, F.col("y"))).alias(f"y{n}") for n, f in (("0", F.min), ("1", F.max))],
+        F.array_sort(F.collect_set(F.when(open_query, F.col("z")))).alias("query_z"),
         F.max("query").alias("_has_query"),
         F.max("target").alias("_has_target"),
     ).where("_has_query = 1 and _has_target = 1").join(spacing.select("case_id", "sx", "sy", "sz"), "case_id")
     roles = attach(roles, extent, ["case_id", "direction"], ["x", "y", "z"])
     inside = roles.where("query = 1 and inside = 1").select("case_id", "direction", F.lit(0.0).alias("distance"))
-    targets = roles.where("target = 1 and y0 is not null").select("case_id", "direction", "x", "y", "z", "y0", "y1", "z0", "z1", "sy", "sz")
+    targets = roles.where("target = 1 and y0 is not null").select("case_id", "direction", "x", "y", "z", "y0", "y1", "query_z", "sy", "sz")
     queries = roles.where(open_query).select("case_id", "direction", "x", "y", "z", "y0", "sx")
     kind = mask.schema["case_id"].dataType.simpleString()
     profiles = map_sorted_groups(
