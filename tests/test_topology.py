@@ -10,11 +10,12 @@ def labels_of(df):
     return {(r.case_id, r.x, r.y, r.z): r.label for r in df.collect()}
 
 
-@pytest.mark.parametrize("block", [3, 5, 64])
-def test_components_equal_flood_fill(spark, block):
+@pytest.mark.parametrize("block,local_edges", [(3, 0), (3, 40), (5, 10**6), (64, 0)])
+def test_components_equal_flood_fill(spark, block, local_edges):
+    """Label graphs joined in tasks, by star joins, and some cases each way."""
     rng = np.random.default_rng(block)
     arrays = {c: (rng.random((11, 9, 13)) < p).astype(int) for c, p in enumerate((0.15, 0.32, 0.5))}
-    got = labels_of(components.connected_components(voxels(spark, arrays), 9, 13, block=block))
+    got = labels_of(components.connected_components(voxels(spark, arrays), 9, 13, block=block, local_edges=local_edges))
     want = {(c, *p): label for c, m in arrays.items() for p, label in flood(m).items()}
     assert got == want
 
@@ -25,8 +26,9 @@ def test_long_chain_through_many_blocks(spark):
         snake[i, :, 0] = 1
         if i + 1 < 40:
             snake[i + 1, 5 if (i // 2) % 2 == 0 else 0, 0] = 1
-    got = labels_of(components.connected_components(voxels(spark, {7: snake}), 6, 2, block=2))
-    assert set(got.values()) == {0}
+    for local_edges in (0, 10**6):
+        got = labels_of(components.connected_components(voxels(spark, {7: snake}), 6, 2, block=2, local_edges=local_edges))
+        assert set(got.values()) == {0}
 
 
 def test_diagonal_is_not_connected(spark):

@@ -2,9 +2,10 @@
 
 Voxels are grouped into cubes of bounded size. Inside a cube the components
 come from array operations on at most ``block**3`` cells. Only cube faces are
-then compared, and the remaining graph of cube components, far smaller than
-the mask, is resolved by alternating large-star and small-star joins
-(Kiveris et al., 2014). A component's label is its lowest raster index.
+then compared. The remaining graph of cube components is far smaller than the
+mask: a case whose counted edges fit a bound is joined in one task, any other by
+alternating large-star and small-star joins (Kiveris et al., 2014). A
+component's label is its lowest raster index.
 """
 
 from __future__ import annotations
@@ -19,34 +20,40 @@ from .masks import VOXEL, raster_index
 from .skew import attach
 
 DEFAULT_BLOCK = 64
+# at most this many label pairs of one case are joined inside a task (16 MB)
+LOCAL_EDGES = 1_000_000
 LABELLED = "case_id bigint, x int, y int, z int, label bigint"
 
 
-def _lowest_ids(positions: np.ndarray, steps: tuple[int, ...], ids: np.ndarray) -> np.ndarray:
-    """Lowest id of each cell's component.
-
-    ``positions`` are distinct and ascending; cells whose positions differ by
-    one of ``steps`` touch.
-    """
-    pairs = []
-    for step in steps:
-        at = np.minimum(np.searchsorted(positions, positions + step), len(positions) - 1)
-        hit = np.flatnonzero(positions[at] == positions + step)
-        pairs.append(np.stack([hit, at[hit]]))
-    a, b = np.concatenate(pairs, axis=1)
-    parent = np.arange(len(positions))
+def _join_pairs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Lowest member of each of ``n`` items' sets after joining ``a[i]`` with ``b[i]``."""
+    parent = np.arange(n)
     while True:
         pa_, pb = parent[a], parent[b]
         low, high = np.minimum(pa_, pb), np.maximum(pa_, pb)
         apart = low != high
         if not apart.any():
-            break
+            return parent
         np.minimum.at(parent, high[apart], low[apart])
         while True:
             jumped = parent[parent]
             if np.array_equal(jumped, parent):
                 break
             parent = jumped
+
+
+def _lowest_ids(positions: np.ndarray, steps: tuple[int, ...], ids: np.ndarray) -> np.ndarray:
+    """Lowest id of each cell's component.
+
+    ``positions`` are distinct and ascending; cells whose positions differ by
+    one of ``steps`` touch.
+    """
+    pairs = []
+    for step in steps:
+        at = np.minimum(np.searchsorted(positions, positions + step), len(positions) - 1)
+        hit = np.flatnonzero(positions[at] == positions + step)
+        pairs.append(np.stack([hit, at[hit]]))
+    parent = _join_pairs(len(positions), *np.concatenate(pairs, axis=1))
     lowest = np.full(len(positions), np.iinfo(np.int64).max)
     np.minimum.at(lowest, parent, ids)
     return lowest[parent]
@@ -93,22 +100,52 @@ def _face_edges(labelled: DataFrame, block: int) -> DataFrame:
     return met.where("a is not null and b is not null").select("case_id", "a", "b").distinct()
 
 
-def resolve_graph(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
-    """``(case_id, label, root)`` for every node of an undirected label graph.
+def resolve_graph(edges: DataFrame, local_edges: int = LOCAL_EDGES) -> DataFrame | None:
+    """``(case_id, label, root)`` for every node of an undirected label graph, or None without edges.
 
-    Large-star links each larger neighbour to the lowest one around a node,
+    A case whose edges are counted and fit ``local_edges`` is joined inside one
+    task; a larger one goes through the star joins.
+    """
+    edges = cut_lineage(edges.where("a <> b").select("case_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    sizes = edges.groupBy("case_id").agg(F.count("*").alias("n"))
+    largest = sizes.agg(F.max("n")).first()[0] or 0
+    if largest == 0:
+        return None
+    if largest <= local_edges:
+        return _resolve_in_task(edges)
+    small = attach(edges, sizes.where(F.col("n") <= local_edges).select("case_id"), ["case_id"], ["u", "v"])
+    large = attach(edges, sizes.where(F.col("n") > local_edges).select("case_id"), ["case_id"], ["u", "v"])
+    return _resolve_in_task(small).unionByName(_resolve_by_stars(large))
+
+
+def _resolve_in_task(edges: DataFrame) -> DataFrame:
+    def join(table: pa.Table, starts: np.ndarray):
+        u, v = table.column("u").to_numpy(), table.column("v").to_numpy()
+        case = table.column("case_id")
+        for start, end in zip(starts, np.append(starts[1:], table.num_rows)):
+            nodes, at = np.unique(np.concatenate([u[start:end], v[start:end]]), return_inverse=True)
+            parent = _join_pairs(len(nodes), at[: end - start], at[end - start :])
+            name = pa.array([case[int(start)].as_py()] * len(nodes), case.type)
+            yield pa.RecordBatch.from_arrays([name, pa.array(nodes), pa.array(nodes[parent])], names=["case_id", "label", "root"])
+
+    kind = edges.schema["case_id"].dataType.simpleString()
+    return map_sorted_groups(edges, ["case_id"], [], f"case_id {kind}, label bigint, root bigint", join)
+
+
+def _resolve_by_stars(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+    """Large-star links each larger neighbour to the lowest one around a node,
     small-star the lower neighbours; both only join and group. A node with very
     many neighbours contributes a minimum, never a list. Converged when a
     round leaves the edge set unchanged.
     """
-    current = cut_lineage(edges.where("a <> b").select(
-        "case_id", F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct())
+    current = cut_lineage(edges)
     before = None
     for _ in range(max_rounds):
-        summary = current.agg(F.count("*").alias("n"), F.coalesce(F.sum(F.xxhash64("case_id", "u", "v").cast("decimal(38,0)")), F.lit(0)).alias("h")).first()
-        if summary.n == 0 or before == (summary.n, summary.h):
-            break
-        before = (summary.n, summary.h)
+        digest = F.sum(F.xxhash64("case_id", "u", "v").cast("decimal(38,0)"))
+        summary = tuple(current.agg(F.count("*"), digest).first())
+        if before == summary:
+            return current.select("case_id", F.col("u").alias("label"), F.col("v").alias("root"))
+        before = summary
         # large-star: around every node, link larger neighbours to the lowest of node and neighbours
         both = current.select("case_id", "u", "v").unionByName(current.select("case_id", F.col("v").alias("u"), F.col("u").alias("v")))
         lowest = both.groupBy("case_id", "u").agg(F.least(F.min("v"), F.col("u")).alias("m"))
@@ -118,17 +155,15 @@ def resolve_graph(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         linked = attach(large, lowest, ["case_id", "u"], ["v"]).select("case_id", F.col("v").alias("u"), F.col("m").alias("v"))
         small = linked.where("u <> v").unionByName(lowest.select("case_id", "u", F.col("m").alias("v"))).distinct()
         current = cut_lineage(small)
-    else:
-        raise RuntimeError(f"label graph did not settle in {max_rounds} rounds")
-    return current.select("case_id", F.col("u").alias("label"), F.col("v").alias("root"))
+    raise RuntimeError(f"label graph did not settle in {max_rounds} rounds")
 
 
-def connected_components(mask: DataFrame, ny: int, nz: int, block: int = DEFAULT_BLOCK) -> DataFrame:
+def connected_components(mask: DataFrame, ny: int, nz: int, block: int = DEFAULT_BLOCK, local_edges: int = LOCAL_EDGES) -> DataFrame:
     """``(case_id, x, y, z, label)`` with the lowest raster index as label."""
     labelled = cut_lineage(label_within_blocks(mask, ny, nz, block))
     edges = _face_edges(labelled, block)
-    roots = resolve_graph(edges)
-    if roots.isEmpty():
+    roots = resolve_graph(edges, local_edges)
+    if roots is None:
         return labelled
     merged = attach(labelled, roots, ["case_id", "label"], ["x", "y", "z"], how="left")
     return merged.select(*VOXEL, F.coalesce("root", "label").alias("label"))

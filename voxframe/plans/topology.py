@@ -33,8 +33,8 @@ def _(spark, sf):
 
 @query("c01_components_small_blocks", with_ctes(fx.F1, fx.MASK, NB, PRED, PCOMP, body="select * from pcomp"))
 def _(spark, sf):
-    """The same operator cut into 4-voxel cubes, so that labels meet across faces."""
-    return components.connected_components(mask(spark, sf).where("pred = 1").select(*masks.VOXEL), fx.NY, fx.NZ, block=4)
+    """The same operator cut into 4-voxel cubes, so that labels meet across faces, and joined by stars."""
+    return components.connected_components(mask(spark, sf).where("pred = 1").select(*masks.VOXEL), fx.NY, fx.NZ, block=4, local_edges=0)
 
 
 @query("c02_component_stats", with_ctes(fx.F1, fx.VOXEL_CASES, NB, TRUTH, TCOMP, """sz as (select case_id, label, count(*) as size from tcomp group by 1, 2),
