@@ -24,11 +24,27 @@ def group_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
+SMALL_INPUT = 64 * 1024 * 1024
+
+
+def task_count(sized_by: DataFrame) -> int:
+    """Tasks for array work: the session's shuffle partitions, fewer when the
+    input is known to be small, and never so few that cores stay idle."""
+    spark = sized_by.sparkSession
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    size = int(str(sized_by._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return parts if size > SMALL_INPUT else min(parts, 2 * spark.sparkContext.defaultParallelism)
+
+
 def map_sorted_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str,
-                      fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]]) -> DataFrame:
-    """``fn(table, starts)`` gets whole groups, many at a time, in key order."""
-    # a fixed partition count keeps Python work parallel where AQE would merge small inputs
-    parts = int(rows.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+                      fn: Callable[[pa.Table, np.ndarray], Iterator[pa.RecordBatch]], sized_by: DataFrame | None = None) -> DataFrame:
+    """``fn(table, starts)`` gets whole groups, many at a time, in key order.
+
+    ``sized_by`` is a stored table that tells the amount of work where ``rows``
+    itself has only a rough size estimate.
+    """
+    # a fixed partition count keeps heavy work on few bytes parallel where AQE would merge it
+    parts = task_count(rows if sized_by is None else sized_by)
     keys = list(keys)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

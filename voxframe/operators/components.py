@@ -79,7 +79,7 @@ def label_within_blocks(mask: DataFrame, ny: int, nz: int, block: int) -> DataFr
         yield from out.to_batches()
 
     kind = mask.schema["case_id"].dataType.simpleString()
-    return map_sorted_groups(cubes, ["case_id", "bx", "by", "bz"], ["cell"], LABELLED.replace("bigint", kind, 1), label)
+    return map_sorted_groups(cubes, ["case_id", "bx", "by", "bz"], ["cell"], LABELLED.replace("bigint", kind, 1), label, mask)
 
 
 def _face_edges(labelled: DataFrame, block: int) -> DataFrame:

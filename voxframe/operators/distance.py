@@ -114,11 +114,11 @@ def surface_distances(mask: DataFrame, spacing: DataFrame) -> DataFrame:
     kind = mask.schema["case_id"].dataType.simpleString()
     profiles = map_sorted_groups(
         targets, ["case_id", "direction", "x"], ["y", "z"],
-        f"case_id {kind}, direction string, z int, x int, y int, profile array<double>", _profiles,
+        f"case_id {kind}, direction string, z int, x int, y int, profile array<double>", _profiles, skin,
     )
     meeting = profiles.unionByName(queries, allowMissingColumns=True)
     outside = map_sorted_groups(
-        meeting, ["case_id", "direction", "z"], ["y"], f"case_id {kind}, direction string, distance double", _nearest
+        meeting, ["case_id", "direction", "z"], ["y"], f"case_id {kind}, direction string, distance double", _nearest, skin
     )
     return cut_lineage(outside.unionByName(inside))
 

@@ -52,7 +52,6 @@ def improvements(history: DataFrame, min_delta: float = MIN_DELTA) -> DataFrame:
     are walked. The walk streams a sorted run and keeps one number.
     """
     records = best_so_far(history).where("is_best").select("run_id", "epoch", "score")
-    parts = int(history.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
     def walk(batches):
         run, best = None, -np.inf
@@ -67,7 +66,7 @@ def improvements(history: DataFrame, min_delta: float = MIN_DELTA) -> DataFrame:
             yield batch.take(pa.array(keep, pa.int64()))
 
     kind = history.schema["run_id"].dataType.simpleString()
-    ordered = records.select("run_id", F.col("epoch").cast("int"), "score").repartition(parts, "run_id").sortWithinPartitions("run_id", "epoch")
+    ordered = records.select("run_id", F.col("epoch").cast("int"), "score").repartition("run_id").sortWithinPartitions("run_id", "epoch")
     return ordered.mapInArrow(walk, f"run_id {kind}, epoch int, score double")
 
 
