@@ -18,7 +18,6 @@ from __future__ import annotations
 
 from collections.abc import Sequence
 from dataclasses import dataclass
-from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -45,25 +44,19 @@ def _draw(key: Column, shard: Shard) -> Column:
     return -F.log(u) / F.lit(float(shard.weight))
 
 
-def _least(of: Sequence[Column]) -> Column:
-    return reduce(lambda a, b: F.least(a, b), of) if len(of) > 1 else of[0]
+def _draws(key: Column, shards: Sequence[Shard]) -> Column:
+    """One entry per shard: its draw and its path in the tree."""
+    return F.array(*[
+        F.struct(_draw(key, s).alias("draw"), F.lit(s.region).alias("region"), F.lit(s.rack).alias("rack"), F.lit(s.number).alias("shard")) for s in shards
+    ])
 
 
-def choose(draws: Column, shards: Sequence[Shard]) -> Column:
-    """The shard that a descent by ``draws`` (an array beside ``shards``) ends in."""
-
-    def descend(members: list[tuple[int, Shard]], level: int) -> Column:
-        if level == 2:
-            best = _least([draws[i] for i, _ in members])
-            return F.coalesce(*[F.when(draws[i] == best, F.lit(s.number)) for i, s in members])
-        groups: dict[int, list[tuple[int, Shard]]] = {}
-        for i, s in members:
-            groups.setdefault(s.region if level == 0 else s.rack, []).append((i, s))
-        least = {g: _least([draws[i] for i, _ in m]) for g, m in groups.items()}
-        best = _least(list(least.values()))
-        return F.coalesce(*[F.when(least[g] == best, descend(m, level + 1)) for g, m in groups.items()])
-
-    return descend(list(enumerate(shards)), 0).cast("int")
+def descend(draws: Column) -> Column:
+    """Region, then rack, then shard: at each level the child that holds the least draw."""
+    for level in ("region", "rack"):
+        child = F.array_min(draws)[level]
+        draws = F.filter(draws, lambda d, level=level, child=child: d[level] == child)
+    return F.array_min(draws)["shard"].cast("int")
 
 
 def assign(docs: DataFrame, shards: Sequence[Shard], grown: Sequence[Shard], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -78,16 +71,16 @@ def assign(docs: DataFrame, shards: Sequence[Shard], grown: Sequence[Shard], doc
     if any(s.number in weights and weights[s.number] != s.weight for s in grown):
         raise ValueError("a grown tree keeps the weights of the old shards")
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    place = {s.number: i for i, s in enumerate(union)}
 
-    def pick(tree: Sequence[Shard]) -> Column:
-        return choose(F.array(*[F.col("_draws")[place[s.number]] for s in tree]) if len(tree) < len(union) else F.col("_draws"), tree)
+    def pick(members: Sequence[Shard]) -> Column:
+        numbers = [s.number for s in members]
+        return descend(F.col("_draws") if len(numbers) == len(union) else F.filter("_draws", lambda d: d["shard"].isin(numbers)))
 
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 8).cast("bigint").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        F.array(*[_draw(key, s) for s in union]).alias("_draws"),
+        _draws(key, union).alias("_draws"),
     ).select("doc_id", "size", "text_crc32", pick(shards).alias("shard"), pick(grown).alias("grown_shard"))
     pieces = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = rows.withColumn("_piece", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(pieces)).cast("int"))
