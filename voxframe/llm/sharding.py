@@ -53,9 +53,10 @@ def _draws(key: Column, shards: Sequence[Shard]) -> Column:
 
 def descend(draws: Column) -> Column:
     """Region, then rack, then shard: at each level the child that holds the least draw."""
-    for level in ("region", "rack"):
-        child = F.array_min(draws)[level]
-        draws = F.filter(draws, lambda d, level=level, child=child: d[level] == child)
+    def enter(members: Column, level: str) -> Column:
+        return F.filter(members, lambda d: d[level] == F.array_min(members)[level])
+
+    draws = enter(enter(draws, "region"), "rack")
     return F.array_min(draws)["shard"].cast("int")
 
 
