@@ -44,20 +44,24 @@ def _draw(key: Column, shard: Shard) -> Column:
     return -F.log(u) / F.lit(float(shard.weight))
 
 
-def _draws(key: Column, shards: Sequence[Shard]) -> Column:
-    """One entry per shard: its draw and its path in the tree."""
-    return F.array(*[
-        F.struct(_draw(key, s).alias("draw"), F.lit(s.region).alias("region"), F.lit(s.rack).alias("rack"), F.lit(s.number).alias("shard")) for s in shards
-    ])
+def descend(key: Column, shards: Sequence[Shard]) -> Column:
+    """Region, then rack, then shard: at each level the child with the least draw.
 
+    An entry starts with the draw it inherits from its best member, so the least
+    entry of a level is the child to enter and carries the way on.
+    """
 
-def descend(draws: Column) -> Column:
-    """Region, then rack, then shard: at each level the child that holds the least draw."""
-    def enter(members: Column, level: str) -> Column:
-        return F.filter(members, lambda d: d[level] == F.array_min(members)[level])
+    def level(entries: dict[int, list[Column]], name: str) -> list[Column]:
+        return [F.struct(F.array_min(F.array(*members)).alias("best"), F.lit(number).alias(name)) for number, members in entries.items()]
 
-    draws = enter(enter(draws, "region"), "rack")
-    return F.array_min(draws)["shard"].cast("int")
+    racks: dict[tuple[int, int], list[Column]] = {}
+    for s in shards:
+        racks.setdefault((s.region, s.rack), []).append(F.struct(_draw(key, s).alias("draw"), F.lit(s.number).alias("shard")))
+    regions: dict[int, list[Column]] = {}
+    for region in {r for r, _ in racks}:
+        regions[region] = level({rack: m for (r, rack), m in racks.items() if r == region}, "rack")
+    entered = F.array_min(F.array(*level(regions, "region")))
+    return entered["best"]["best"]["shard"].cast("int")
 
 
 def assign(docs: DataFrame, shards: Sequence[Shard], grown: Sequence[Shard], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -67,22 +71,17 @@ def assign(docs: DataFrame, shards: Sequence[Shard], grown: Sequence[Shard], doc
     pieces by a hash, pieces are numbered on their own and shifted by the sizes
     of the pieces before them, so no task holds a whole shard.
     """
-    union = list({s.number: s for s in [*shards, *grown]}.values())
     weights = {s.number: s.weight for s in shards}
     if any(s.number in weights and weights[s.number] != s.weight for s in grown):
         raise ValueError("a grown tree keeps the weights of the old shards")
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-
-    def pick(members: Sequence[Shard]) -> Column:
-        numbers = [s.number for s in members]
-        return descend(F.col("_draws") if len(numbers) == len(union) else F.filter("_draws", lambda d: d["shard"].isin(numbers)))
-
     rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 8).cast("bigint").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        _draws(key, union).alias("_draws"),
-    ).select("doc_id", "size", "text_crc32", pick(shards).alias("shard"), pick(grown).alias("grown_shard"))
+        descend(key, shards).alias("shard"),
+        descend(key, grown).alias("grown_shard"),
+    )
     pieces = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = rows.withColumn("_piece", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(pieces)).cast("int"))
     sizes = cut.groupBy("shard", "_piece").agg(F.count("*").alias("_n"))
