@@ -21,6 +21,8 @@ from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
 HASH_BITS = 52
 
 
@@ -75,13 +77,14 @@ def assign(docs: DataFrame, shards: Sequence[Shard], grown: Sequence[Shard], doc
     if any(s.number in weights and weights[s.number] != s.weight for s in grown):
         raise ValueError("a grown tree keeps the weights of the old shards")
     key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
-    rows = docs.select(
+    # written once: two branches read it, and neither needs the texts again
+    rows = cut_lineage(docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 8).cast("bigint").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
         descend(key, shards).alias("shard"),
         descend(key, grown).alias("grown_shard"),
-    )
+    ))
     pieces = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = rows.withColumn("_piece", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(pieces)).cast("int"))
     sizes = cut.groupBy("shard", "_piece").agg(F.count("*").alias("_n"))
