@@ -71,7 +71,7 @@ class Grouped:
     """Distinct values, ascending, with summed weights; ``of`` maps items to them."""
 
     def __init__(self, values: np.ndarray, weights: np.ndarray):
-        order = np.argsort(values, kind="stable")
+        order = np.argsort(values)
         ordered = values[order]
         first = runs(ordered)
         self.values = ordered[first]
@@ -113,7 +113,7 @@ def prepare(docs: DataFrame, folds: int = 10, doc_id: str = "doc_id", text: str
     """Chunks with the corpus totals of all their tokens and pairs, written once."""
     parts = shuffle_partitions(docs)
     buckets = 2 * parts
-    chunks = chunked(docs, 2 * parts, doc_id, text)
+    chunks = chunked(docs, 4 * parts, doc_id, text)
 
     def tokens_of(table: pa.Table) -> Tokens:
         return Tokens(*unpack_documents(table.column("block").to_pylist()), folds)
@@ -146,7 +146,7 @@ def prepare(docs: DataFrame, folds: int = 10, doc_id: str = "doc_id", text: str
         sums1, values, sums = _totals(np.concatenate(singles), np.concatenate(counts1))
         sums2, _, _ = _totals(np.concatenate(doubles), np.concatenate(counts2))
         ends1, ends2 = np.cumsum([n for n, _ in sizes]), np.cumsum([m for _, m in sizes])
-        data = [_counts(sums1[a - n : a]) + _counts(sums2[b - m : b]) for (n, m), a, b in zip(sizes, ends1, ends2)]
+        data = [np.array([n, m], np.int64).tobytes() + _counts(sums1[a - n : a]) + _counts(sums2[b - m : b]) for (n, m), a, b in zip(sizes, ends1, ends2)]
         tokens = values != BEGIN
         data.append(np.array([sums[tokens].sum(), np.count_nonzero(sums[tokens])], np.int64).tobytes())
         bucket = table.column("bucket")[0].as_py()
@@ -156,18 +156,16 @@ def prepare(docs: DataFrame, folds: int = 10, doc_id: str = "doc_id", text: str
         if not documents.num_rows:
             sums = np.sum([np.frombuffer(d, np.int64) for d in answers.column("data").to_pylist()], axis=0)
             return pa.table({"chunk": pa.array([STATISTICS], pa.int32()), "documents": pa.array([None], pa.binary()), "totals": pa.array([sums.tobytes()], pa.binary())})
-        ids, known, texts = unpack_documents(documents.column("block").to_pylist())
-        tokens = Tokens(ids, known, texts, folds)
-        one, two = np.diff(edges_of(tokens.single.values)), np.diff(edges_of(tokens.double.values))
         singles, doubles = [], []
-        full = np.flatnonzero((one > 0) | (two > 0))
-        for data, k in zip(answers.sort_by("bucket").column("data").to_pylist(), full):
-            c, at = _uncount(data, int(one[k]), 0)
+        for data in answers.sort_by("bucket").column("data").to_pylist():  # ascending values, as the chunk sent them
+            n, m = np.frombuffer(data, np.int64, 2).tolist()
+            c, at = _uncount(data, n, 16)
             singles.append(c)
-            doubles.append(_uncount(data, int(two[k]), at)[0])
+            doubles.append(_uncount(data, m, at)[0])
         zstd = zstandard.ZstdCompressor(level=3)
         totals = zstd.compress(_counts(np.concatenate(singles)) + _counts(np.concatenate(doubles)))
-        return pa.table({"chunk": documents.column("chunk").slice(0, 1), "documents": pa.array([pack_documents(ids, known, texts, zstd)], pa.binary()), "totals": pa.array([totals], pa.binary())})
+        block = pack_documents(*unpack_documents(documents.column("block").to_pylist()), zstd)
+        return pa.table({"chunk": documents.column("chunk").slice(0, 1), "documents": pa.array([block], pa.binary()), "totals": pa.array([totals], pa.binary())})
 
     answers = chunks.groupBy("chunk").applyInArrow(send, MESSAGE).groupBy("bucket").applyInArrow(total, MESSAGE)
     return cut_lineage(chunks.groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInArrow(gather, PREPARED))
