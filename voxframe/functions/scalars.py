@@ -18,8 +18,8 @@ SIZE_CLASSES = ("small", "medium", "large")
 
 
 def binarize(value: Column, threshold: float | Column = 0.5) -> Column:
-    """Strictly above the threshold."""
-    return value > threshold
+    """Strictly above the threshold; NaN, which Spark orders above all numbers, is not."""
+    return (value > threshold) & ~F.isnan(value)
 
 
 def clip(value: Column, low, high) -> Column:

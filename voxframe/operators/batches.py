@@ -24,16 +24,9 @@ def group_starts(table: pa.Table, keys: Sequence[str]) -> np.ndarray:
     return np.flatnonzero(changed)
 
 
-SMALL_INPUT = 64 * 1024 * 1024
-
-
-def task_count(sized_by: DataFrame) -> int:
-    """Tasks for array work: the session's shuffle partitions, fewer when the
-    input is known to be small, and never so few that cores stay idle."""
-    spark = sized_by.sparkSession
-    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
-    size = int(str(sized_by._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
-    return parts if size > SMALL_INPUT else min(parts, 2 * spark.sparkContext.defaultParallelism)
+def task_count(df: DataFrame) -> int:
+    """Tasks for array work: the session's shuffle partitions."""
+    return int(df.sparkSession.conf.get("spark.sql.shuffle.partitions"))
 
 
 def map_sorted_groups(rows: DataFrame, keys: Sequence[str], order: Sequence[str], schema: str,

@@ -132,7 +132,7 @@ def _resolve_in_task(edges: DataFrame) -> DataFrame:
     return map_sorted_groups(edges, ["case_id"], [], f"case_id {kind}, label bigint, root bigint", join)
 
 
-def _resolve_by_stars(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
+def _resolve_by_stars(edges: DataFrame) -> DataFrame:
     """Large-star links each larger neighbour to the lowest one around a node,
     small-star the lower neighbours; both only join and group. A node with very
     many neighbours contributes a minimum, never a list. Converged when a
@@ -140,7 +140,7 @@ def _resolve_by_stars(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
     """
     current = cut_lineage(edges)
     before = None
-    for _ in range(max_rounds):
+    while True:
         digest = F.sum(F.xxhash64("case_id", "u", "v").cast("decimal(38,0)"))
         summary = tuple(current.agg(F.count("*"), digest).first())
         if before == summary:
@@ -155,7 +155,6 @@ def _resolve_by_stars(edges: DataFrame, max_rounds: int = 64) -> DataFrame:
         linked = attach(large, lowest, ["case_id", "u"], ["v"]).select("case_id", F.col("v").alias("u"), F.col("m").alias("v"))
         small = linked.where("u <> v").unionByName(lowest.select("case_id", "u", F.col("m").alias("v"))).distinct()
         current = cut_lineage(small)
-    raise RuntimeError(f"label graph did not settle in {max_rounds} rounds")
 
 
 def connected_components(mask: DataFrame, ny: int, nz: int, block: int = DEFAULT_BLOCK, local_edges: int = LOCAL_EDGES) -> DataFrame:

@@ -8,6 +8,8 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.scalars import binarize
+
 VOXEL = ["case_id", "x", "y", "z"]
 
 # The six face neighbours.
@@ -26,8 +28,8 @@ def pair_from_scores(scored: DataFrame, threshold: float = 0.5, prob: str = "pro
     """Paired mask from voxel rows that carry a probability and a truth flag."""
     return scored.select(
         *VOXEL,
-        (F.col(prob) > threshold).cast("int").alias("pred"),
-        (F.col(gt) > 0.5).cast("int").alias("gt"),
+        binarize(F.col(prob), threshold).cast("int").alias("pred"),
+        binarize(F.col(gt)).cast("int").alias("gt"),
     ).where("pred = 1 or gt = 1")
 
 

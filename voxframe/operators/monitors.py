@@ -12,6 +12,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
+from ..functions.scalars import binarize
 from .skew import running_before
 
 # Default settings of the monitors.
@@ -37,11 +38,12 @@ def divergence(epochs: DataFrame) -> DataFrame:
 
 
 def best_so_far(history: DataFrame) -> DataFrame:
-    """Running best and ``is_best`` on a strict increase."""
-    rows = running_before(history, ["run_id"], "epoch", F.col("score"), "_before")
+    """Running best and ``is_best`` on a strict increase; NaN is never best."""
+    score = F.when(~F.isnan("score"), F.col("score"))
+    rows = running_before(history, ["run_id"], "epoch", score, "_before")
     return rows.select(
-        "run_id", "epoch", "score", F.greatest("score", "_before").alias("best_score"),
-        (F.col("_before").isNull() | (F.col("score") > F.col("_before"))).alias("is_best"),
+        "run_id", "epoch", "score", F.greatest(score, "_before").alias("best_score"),
+        (score.isNotNull() & (F.col("_before").isNull() | (score > F.col("_before")))).alias("is_best"),
     )
 
 
@@ -96,7 +98,7 @@ def collapse(history: DataFrame, min_peak: float = COLLAPSE_PEAK, patience: int
     Each zero epoch is counted for itself and the ``patience - 1`` epochs after
     it; an epoch that collects ``patience`` counts ends such a streak.
     """
-    armed = history.where(F.col("score") > min_peak).groupBy("run_id").agg(F.min("epoch").alias("armed_epoch"))
+    armed = history.where(binarize(F.col("score"), min_peak)).groupBy("run_id").agg(F.min("epoch").alias("armed_epoch"))
     zeros = history.where(F.col("score") <= tolerance).select("run_id", "epoch")
     votes = zeros.select("run_id", "epoch", F.explode(F.sequence(F.col("epoch"), F.col("epoch") + patience - 1)).alias("end"))
     # a zero before the arming epoch cannot be in a streak that ends after it without passing it

@@ -6,6 +6,8 @@ from collections.abc import Sequence
 
 from pyspark.sql import Column, DataFrame, functions as F
 
+from ..functions.scalars import binarize
+
 FAILURE_BELOW = 0.10
 OVERLAP_COLUMNS = ("dice_3d", "iou_3d", "sensitivity_3d", "precision_3d", "specificity_3d")
 
@@ -100,7 +102,7 @@ def fast_dice(scored: DataFrame, threshold: float = 0.5, keys: Sequence[str] = (
 
 def fast_dice_sums(threshold: float) -> list[Column]:
     prob, gt = F.col("prob"), F.col("gt").cast("double")
-    hard = (prob > threshold).cast("double")
+    hard = binarize(prob, threshold).cast("double")
     return [
         F.sum(hard * gt).alias("inter_hard"),
         F.sum(hard).alias("pred_hard"),

@@ -12,6 +12,7 @@ from collections.abc import Sequence
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.registry import check_sweep_split
+from ..functions.scalars import binarize
 from .overlap import dice
 
 # 0.10 to 0.90 in steps of 0.05, then a finer tail.
@@ -29,8 +30,8 @@ def require_truth(pred_cases: DataFrame, truth_cases: DataFrame) -> None:
 def sweep_by_case(scored: DataFrame, thresholds: Sequence[float] = DEFAULT_THRESHOLDS) -> DataFrame:
     """Dice per (case, threshold) from pixel rows ``(case_id, prob, gt)``."""
     levels = sorted(thresholds)
-    bucket = sum((F.col("prob") > t).cast("int") for t in levels)
-    g = (F.col("gt") > 0.5).cast("int")
+    bucket = sum(binarize(F.col("prob"), t).cast("int") for t in levels)
+    g = binarize(F.col("gt")).cast("int")
     hist = scored.groupBy("case_id", bucket.alias("bucket")).agg(F.count("*").alias("n"), F.sum(g).alias("n_gt"))
     # every case gets every bucket, so that each candidate has a row to sum from
     frame = hist.select("case_id").distinct().select(
@@ -52,10 +53,21 @@ def sweep_by_case(scored: DataFrame, thresholds: Sequence[float] = DEFAULT_THRES
     )
 
 
-def threshold_sweep(scored: DataFrame, split: str = "val", thresholds: Sequence[float] = DEFAULT_THRESHOLDS) -> DataFrame:
-    """Mean Dice over cases for each candidate."""
+def threshold_sweep(scored: DataFrame, split: str = "val", thresholds: Sequence[float] = DEFAULT_THRESHOLDS,
+                    truth_cases: DataFrame | None = None) -> DataFrame:
+    """Mean Dice over cases for each candidate, 0.0 where there are no cases.
+
+    The mean is an exact decimal sum over a count, rounded to 12 digits, so it
+    does not depend on the order of partitions and ties stay ties. With
+    ``truth_cases`` a predicted case without truth is refused.
+    """
     check_sweep_split(split)
-    return sweep_by_case(scored, thresholds).groupBy("threshold").agg(F.avg("dice").alias("mean_dice"))
+    if truth_cases is not None:
+        require_truth(scored, truth_cases)
+    total = F.sum(F.col("dice").cast("decimal(28,15)")).cast("double")
+    means = sweep_by_case(scored, thresholds).groupBy("threshold").agg(F.round(total / F.count("*"), 12).alias("mean_dice"))
+    candidates = scored.sparkSession.range(1).select(F.explode(F.array(*[F.lit(float(t)) for t in sorted(thresholds)])).alias("threshold"))
+    return candidates.join(means, "threshold", "left").fillna(0.0, ["mean_dice"])
 
 
 def best_threshold(sweep: DataFrame) -> DataFrame:

@@ -52,8 +52,8 @@ def headers(spark, sf):
   'LAS' as img_orientation, case when case_id % 13 = 0 then 'LPS' else 'LAS' end as lbl_orientation from s)""",
     body="""select case_id, shape_match, max_affine_diff, max_affine_diff < 1e-4 as affine_match, img_orientation, lbl_orientation, img_orientation = lbl_orientation as orientation_match,
  true as is_mask_binary, false as img_has_nan, false as img_has_inf, false as lbl_has_nan, false as lbl_has_inf, hi - lo < 1e-5 as is_empty_image, pos = 0 as is_empty_mask,
- concat_ws('; ', case when not shape_match then 'shape mismatch 8x8x' || n || ' vs 8x8x' || (n + 1) end, case when max_affine_diff > 1e-4 then 'affine mismatch' end,
-  case when img_orientation <> lbl_orientation then 'orientation mismatch LAS vs LPS' end, case when hi = lo then 'image volume is constant (empty)' end, case when pos = 0 then 'label mask is empty' end) as problems from f"""))
+ concat_ws('; ', case when not shape_match then 'image and label differ in shape: 8x8x' || n || ' vs 8x8x' || (n + 1) end, case when max_affine_diff > 1e-4 then 'image and label lie differently in space' end,
+  case when img_orientation <> lbl_orientation then 'axis codes differ: LAS vs LPS' end, case when hi = lo then 'all image values are equal' end, case when pos = 0 then 'nothing is labelled' end) as problems from f"""))
 def _(spark, sf):
     return audit.integrity(headers(spark, sf), volumes(spark, sf), label_slices(spark, sf))
 

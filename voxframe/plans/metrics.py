@@ -156,12 +156,18 @@ _SWEEP = f"""ts as (select * from (values {_TS}) t(threshold)),
  per as (select case_id, threshold, count(*) filter (prob > threshold) as pred, count(*) filter (prob > threshold and gt = 1) as inter, cast(sum(gt) as bigint) as gt
   from f1, ts group by 1, 2),
  swept as (select *, case when pred = 0 and gt = 0 then 1.0 when pred = 0 or gt = 0 then 0.0 else 2.0 * inter / (pred + gt) end as dice from per),
- means as (select threshold, avg(dice) as mean_dice from swept group by 1)"""
+ means as (select threshold, round(cast(sum(cast(dice as decimal(28,15))) as double) / count(*), 6) as mean_dice from swept group by 1)"""
 
 
-@query("a12_threshold_sweep", with_ctes(fx.F1, _SWEEP, body="select * from means"))
+# the candidate in thousandths is an exact key; many means are equal
+_CANDIDATE = "select cast(round(threshold * 1000) as int) as candidate, mean_dice from means"
+
+
+@query("a12_threshold_sweep", with_ctes(fx.F1, _SWEEP, body=_CANDIDATE))
 def _(spark, sf):
-    return sweep.threshold_sweep(fx.scored_voxels(spark, sf))
+    scored = fx.scored_voxels(spark, sf)
+    swept = sweep.threshold_sweep(scored, truth_cases=scored.where("gt is not null").select("case_id").distinct())
+    return swept.select(F.round(F.col("threshold") * 1000).cast("int").alias("candidate"), "mean_dice")
 
 
 @query("a12_best_threshold", with_ctes(fx.F1, _SWEEP, body="select threshold as best_threshold, mean_dice as best_dice from means order by mean_dice desc, threshold limit 1"))

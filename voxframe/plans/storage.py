@@ -11,7 +11,7 @@ from ..streaming import running
 from . import fixtures as fx
 from .auditing import volumes
 from .catalog import query, with_ctes
-from .metrics import _SWEEP, BASE, overlap_rows
+from .metrics import _CANDIDATE, _SWEEP, BASE, overlap_rows
 from .runs import ES, COL, HIST, MIN_EPOCHS, PATIENCE, PEAK, history
 
 _PATHS = """w as (select page_id as case_id, './pages/' || (page_id % 7) || '/p' || page_id || '.nii.gz' as path, page_id % 7 as d from pages),
@@ -65,11 +65,11 @@ def _(spark, sf):
     return doc.select(back.alias("r")).select("r.n_cases", F.col("r.macro.dice_3d").alias("dice"), F.col("r.macro.iou_3d").alias("iou"), F.col("r.failures.count").alias("failures"))
 
 
-@query("snk03_sweep_json", with_ctes(fx.F1, _SWEEP, body="select threshold, mean_dice from means"))
+@query("snk03_sweep_json", with_ctes(fx.F1, _SWEEP, body=_CANDIDATE))
 def _(spark, sf):
     doc = sinks.sweep_json(sweep.threshold_sweep(fx.scored_voxels(spark, sf)))
     parsed = doc.select(F.from_json("value", "best_threshold double, sweep_results map<string,double>").alias("r"))
-    return parsed.select(F.explode("r.sweep_results").alias("k", "mean_dice")).select(F.col("k").cast("double").alias("threshold"), "mean_dice")
+    return parsed.select(F.explode("r.sweep_results").alias("k", "mean_dice")).select(F.round(F.col("k").cast("double") * 1000).cast("int").alias("candidate"), "mean_dice")
 
 
 def stream_of(df, name: str, parts: list[str], per_batch: int = 8):

@@ -31,14 +31,18 @@ def get_spark(app: str = "voxframe", cores: str | int = "*", shuffle_partitions:
 def shared_dir(spark: SparkSession) -> str:
     """The folder every executor can reach: the session's checkpoint folder.
 
-    Only a session that names none (a local test run) gets a temporary one.
+    A folder set in code wins over the configured one. Only a local session that
+    names none gets a temporary one; a cluster must name a shared folder.
     """
-    named = spark.conf.get("spark.checkpoint.dir", None)
-    if named:
-        return named
     current = spark.sparkContext._jsc.sc().getCheckpointDir()
     if current.isDefined():
         return current.get()
+    named = spark.conf.get("spark.checkpoint.dir", None)
+    if named:
+        return named
+    master = spark.sparkContext.master
+    if master != "local" and not master.startswith("local["):
+        raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
     path = tempfile.mkdtemp(prefix="voxframe-")
     spark.sparkContext.setCheckpointDir(path)
     return path

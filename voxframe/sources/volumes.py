@@ -27,8 +27,18 @@ SLICE = "case_id string, slice_idx int, height int, width int, n_slices int, sx
 def _unpacked(content: bytes, limit: int | None = None) -> bytes:
     if content[:2] != b"\x1f\x8b":
         return content[:limit]
-    stream = zlib.decompressobj(wbits=31)
-    return stream.decompress(content, limit) if limit else stream.decompress(content)
+    parts, size = [], 0
+    while content and (limit is None or size < limit):  # one round per gzip member
+        stream = zlib.decompressobj(wbits=31)
+        part = stream.decompress(content, limit - size) if limit else stream.decompress(content)
+        if not stream.eof and not limit:
+            raise ValueError("compressed file is cut short")
+        parts.append(part)
+        size += len(part)
+        content = stream.unused_data
+        if not stream.eof:
+            break
+    return b"".join(parts)
 
 
 def parse_header(raw: bytes) -> dict:
@@ -39,6 +49,8 @@ def parse_header(raw: bytes) -> dict:
     if struct.unpack_from(order + "i", raw)[0] != HEADER_BYTES:
         raise ValueError("not a NIfTI-1 header")
     dim = struct.unpack_from(order + "8h", raw, 40)
+    if any(size > 1 for size in dim[4 : dim[0] + 1]):
+        raise ValueError(f"volume has more than three dimensions: {list(dim[1:dim[0] + 1])}")
     pixdim = struct.unpack_from(order + "8f", raw, 76)
     offset, slope, inter = struct.unpack_from(order + "3f", raw, 108)
     code = struct.unpack_from(order + "h", raw, 70)[0]

@@ -83,10 +83,12 @@ def run_events(stream: DataFrame, patience: int = 10, min_delta: float = 1e-4, m
     )
 
 
-def run_to_files(result: DataFrame, path: str, timeout: int = 600) -> DataFrame:
-    """Process what is available, then read the sink back."""
+def run_to_files(result: DataFrame, path: str, timeout: int | None = None) -> DataFrame:
+    """Process what is available, then read the sink back; ``timeout`` in seconds, none by default."""
     query = result.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).start(f"{path}/rows")
-    if not query.awaitTermination(timeout):
+    if timeout is None:
+        query.awaitTermination()
+    elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError("stream did not finish")
     return result.sparkSession.read.schema(result.schema).parquet(f"{path}/rows")
