@@ -47,7 +47,7 @@ class WordHashes(dict):
         return value
 
 
-def word_hashes(limit: int = 400_000) -> WordHashes:
+def word_hashes(limit: int = 200_000) -> WordHashes:
     """The process's word hashes; emptied when they outgrow ``limit`` words."""
     cache = process_state("word_hashes", WordHashes)
     if len(cache) > limit:

@@ -68,7 +68,7 @@ class Template:
 
     def __init__(self, texts: list[bytes]):
         codes = process_state("template_codes", _Codes)
-        if len(codes) > 400_000:
+        if len(codes) > 200_000:
             codes.clear()
         self.words = [w for t in texts for w in t.split()]
         counts = [len(t.split()) for t in texts]

@@ -45,8 +45,8 @@ def simhash(text: str = "text", shingle: int = 4, seed: int = 42) -> Column:
     def prints(texts: pa.Array) -> pa.Array:
         digest = xxhash.xxh64_intdigest
         out = []
-        for data in texts.to_pylist():
-            words = data.lower().split()
+        for scalar in texts:
+            words = scalar.as_py().lower().split()
             if not words:
                 out.append(0)
                 continue
@@ -172,9 +172,9 @@ def components(prints: DataFrame, blocks: int = 4, distance: int = 4) -> DataFra
 
 def near_duplicates(docs: DataFrame, shingle: int = 4, seed: int = 42, blocks: int = 4, distance: int = 4,
                     doc_id: str = "doc_id", text: str = "text") -> DataFrame:
-    """``(doc_id, fp, component_id)`` for every row of ``docs``."""
-    prints = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), simhash(text, shingle, seed).alias("fp")))
+    """``(doc_id, text_hash, fp, component_id)`` for every row of ``docs``."""
+    prints = cut_lineage(docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), simhash(text, shingle, seed).alias("fp")))
     named = cut_lineage(components(prints, blocks, distance))
     smallest = prints.groupBy("fp").agg(F.min("doc_id").alias("least")).join(named, "fp").groupBy("root").agg(F.min("least").alias("component_id"))
     classes = named.join(smallest, "root").select("fp", "component_id")
-    return prints.join(classes, "fp").select("doc_id", "fp", "component_id")
+    return prints.join(classes, "fp").select("doc_id", "text_hash", "fp", "component_id")
