@@ -230,3 +230,4 @@ def test_secret_query_rows(spark):
     assert red[0].out is None and red[1].out == ""
     assert "24be" not in red[2].out and "<ASSIGN>" in red[2].out
     assert all(not plain_spans(r.out) for r in red[2:])
+    assert [r.out for r in df.select(secrets.clean("text").alias("out")).collect()] == [r.out for r in red]

@@ -141,6 +141,7 @@ def contaminated(docs: DataFrame, benchmark: DataFrame, window: int = WINDOW, li
                 at, hashes = template.windows(window, literals)
                 near = known[(hashes >> np.uint64(64 - TABLE_BITS)).astype(np.int64)]
                 yield _hit_rows(part.select(["doc_id", "text_hash"]), template, at[near], hashes[near], window)
+            pa.default_memory_pool().release_unused()
 
     rows = docs.select(F.col(doc_id).alias("doc_id"), F.xxhash64(F.col(text)).alias("text_hash"), text_bytes(text).alias("body"))
     hits = rows.mapInArrow(probe, f"doc_id {kinds[0]}, text_hash bigint, window bigint, at bigint, slots array<string>")

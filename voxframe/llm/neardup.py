@@ -57,6 +57,7 @@ def simhash(text: str = "text", shingle: int = 4, seed: int = 42) -> Column:
                 hashes = np.array([digest(b" ".join(words[i : i + shingle]), seed) for i in range(at, stop)], np.uint64)
                 votes += np.unpackbits(hashes.view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(axis=0, dtype=np.int64)
             out.append(int(np.packbits(2 * votes > last, bitorder="little").view(np.int64)[0]))
+        pa.default_memory_pool().release_unused()
         return pa.array(out, pa.int64())
 
     return arrow_udf(prints, "bigint")(text_bytes(text))

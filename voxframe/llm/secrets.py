@@ -201,6 +201,21 @@ def redact(text: Column, spans: Column) -> Column:
     return arrow_udf(replace, "string")(text, spans)
 
 
+def clean(text: str = "text") -> Column:
+    """Finds and replaces in one pass."""
+
+    def replace(texts: pa.Array) -> pa.Array:
+        out = []
+        for scalar in texts:
+            body = scalar.as_py()
+            found = [{"kind": k, "start": a, "end": b} for a, b, k in spans_of(body or "")]
+            out.append(redact_text(body, found) if found else body)
+        pa.default_memory_pool().release_unused()
+        return pa.array(out, pa.string())
+
+    return arrow_udf(replace, "string")(F.col(text))
+
+
 def digest(spans: Column) -> Column:
     """``kind:start:end``, comma-joined."""
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")

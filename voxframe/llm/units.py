@@ -29,7 +29,7 @@ LATIN = "A-Za-z\xaa\xb5\xba\xc0-\xd6\xd8-\xf6\xf8-\u024f"
 NOT_PLAIN = re.compile("[\x85\xa0\xb2\xb3\xb9\xbc-\xbe\u0130\u0250-\u200f\u2028-\u202f\u205f-\U0010ffff]")
 NOT_PLAIN_BYTES = b"\x85\xa0\xb2\xb3\xb9\xbc\xbd\xbe"
 SPECIAL = "<|"  # special tokens open so
-LIMIT = 500_000
+LIMIT = 250_000
 
 
 def byte_letters() -> list[str]:
