@@ -87,14 +87,14 @@ QUERIES = {f.__name__: f for f in (op1_packing, op2_secrets, op3_substrings, op4
 
 # every 13-word window with the smallest document it starts in; a word goes if a window over it has a smaller one
 SUBSTRING_SQL = """
-with words as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), w -> w <> '') as w from documents),
+with words as (select doc_id, list_filter(string_split_regex(coalesce(text, ''), '[\\x20\\x09-\\x0D]+'), lambda w: w <> '') as w from documents),
  places as (select doc_id, w, unnest(range(len(w) - 12)) as p from words where len(w) >= 13),
  windows as (select doc_id, p, array_to_string(w[p + 1 : p + 13], ' ') as g from places),
  firsts as (select g, min(doc_id) as least from windows group by g),
  gone as (select distinct doc_id, p + k as p from windows join firsts using (g), (select unnest(range(13)) as k) where least < doc_id),
  lost as (select doc_id, list(p) as ps, count(*) as n from gone group by doc_id)
 select words.doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_removed,
- sha256(array_to_string(case when n is null then w else list_filter(w, (x, i) -> not list_contains(ps, i - 1)) end, ' ')) as kept_sha256
+ sha256(array_to_string(case when n is null then w else list_filter(w, lambda x, i: not list_contains(ps, i - 1)) end, ' ')) as kept_sha256
 from words left join lost on words.doc_id = lost.doc_id
 """
 
