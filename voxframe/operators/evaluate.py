@@ -10,6 +10,7 @@ from .distance import asd, hd95, surface_distances
 from .masks import align_masks
 from .overlap import confusion, overlap_metrics
 
+# Metric and export column names.
 METRIC_COLUMNS = ("dice_3d", "iou_3d", "sensitivity_3d", "precision_3d", "specificity_3d", "hd95_3d", "asd_3d")
 BASE_EXPORT = ("case_id", "tumor_category", "dice_3d", "iou_3d", "sensitivity_3d", "precision_3d", "specificity_3d",
                "hd95_3d", "asd_3d", "fp_components", "is_failure", "inference_time_sec")
@@ -72,6 +73,11 @@ def with_category(metrics: DataFrame, categories: DataFrame | None) -> DataFrame
     return metrics.join(categories.select("case_id", "tumor_category"), "case_id", "left").fillna(UNKNOWN, ["tumor_category"])
 
 
+def with_inference_time(metrics: DataFrame, times: DataFrame) -> DataFrame:
+    """Attach ``inference_time_sec``; a case that was never timed has none."""
+    return metrics.join(times.select("case_id", "inference_time_sec"), "case_id", "left")
+
+
 def export_frame(metrics: DataFrame, categories: DataFrame | None = None) -> DataFrame:
     """Fixed columns, then the sorted ``pp_`` columns the table really has."""
     named = with_category(metrics, categories)

@@ -19,10 +19,14 @@ from .overlap import dice
 DEFAULT_THRESHOLDS = tuple(round(0.05 * k, 2) for k in range(2, 19)) + (0.925, 0.95, 0.975, 0.99)
 
 
+def missing_truth(pred_cases: DataFrame, truth_cases: DataFrame) -> DataFrame:
+    """The first five predicted cases without truth."""
+    return pred_cases.select("case_id").distinct().join(truth_cases, "case_id", "left_anti").orderBy("case_id").limit(5)
+
+
 def require_truth(pred_cases: DataFrame, truth_cases: DataFrame) -> None:
     """Refuse a sweep when a predicted case has no truth; names the first five."""
-    missing = pred_cases.select("case_id").distinct().join(truth_cases, "case_id", "left_anti").orderBy("case_id").limit(5)
-    names = [r.case_id for r in missing.collect()]
+    names = [r.case_id for r in missing_truth(pred_cases, truth_cases).collect()]
     if names:
         raise ValueError(f"no ground truth for: {names}")
 

@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("metrics", "topology", "splitting", "auditing", "runs", "dense", "storage")
+AREAS = ("metrics", "topology", "splitting", "auditing", "runs", "dense", "storage", "documents")
 
 
 def load_catalog():

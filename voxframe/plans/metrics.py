@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 from ..functions import scalars
 from ..operators import evaluate, masks, overlap, reports, sweep
 from ..session import cut_lineage
+from ..sources import tables
 from . import fixtures as fx
 from .catalog import query, with_ctes
 
@@ -289,7 +290,7 @@ def _(spark, sf):
 def _(spark, sf):
     preds = fx.table(spark, sf, "documents").select(F.col("doc_id").alias("case_id"))
     truth = fx.table(spark, sf, "labels").select(F.col("doc_id").alias("case_id"))
-    return preds.join(truth, "case_id", "left_anti").orderBy("case_id").limit(5)
+    return sweep.missing_truth(preds, truth)
 
 
 @query("j04_with_metadata", with_ctes(fx.F2, fx.F9, body="""select f2.case_id, f2.slice_idx, n_pos, flip_x, sp_xy from f2 join f9 on f9.case_id = f2.case_id where f9.case_id % 10 <> 0"""))
@@ -301,7 +302,7 @@ def _(spark, sf):
 @query("j04_without_metadata", with_ctes(fx.F2, fx.F9, body="select distinct case_id from f2 where case_id not in (select case_id from f9 where case_id % 10 <> 0)"))
 def _(spark, sf):
     meta = fx.case_geometry(spark, sf).where("case_id % 10 <> 0")
-    return fx.slices(spark, sf).select("case_id").distinct().join(meta, "case_id", "left_anti")
+    return tables.without_metadata(fx.slices(spark, sf), meta)
 
 
 @query("j06_size_category", with_ctes(*BASE, CATS, body="select case_id, coalesce(tumor_category, 'unknown') as tumor_category, dice_3d from met left join cats using (case_id)"))

@@ -4,6 +4,8 @@ from __future__ import annotations
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
+from ..operators.skew import attach
+
 MANIFEST = (
     "name string, description string, modality map<string,string>, labels map<string,string>, numTraining int, numTest int, "
     "training array<struct<image:string,label:string>>, test array<string>"
@@ -62,9 +64,13 @@ def resolve_paths(cases: DataFrame, files: DataFrame) -> DataFrame:
     parts = F.split("dir", "/")
     ancestors = F.transform(F.sequence(F.lit(1), F.size(parts)), lambda i: F.array_join(F.slice(parts, F.lit(1), i), "/"))
     volumes = volumes.select("path", "name", F.explode(F.array_distinct(F.concat(ancestors, F.array(F.lit(""))))).alias("dir"))
-    volumes = volumes.join(open_rows.select("dir").distinct(), "dir", "left_semi")
-    prefixes = volumes.select("dir", "path", F.explode(F.transform(F.sequence(F.lit(1), F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n))).alias("base"))
-    lowest = prefixes.join(open_rows.select("dir", "base").distinct(), ["dir", "base"], "left_semi").groupBy("dir", "base").agg(F.min("path").alias("resolved"))
+    # one folder may hold every file: its rows are salted, only prefixes of wanted lengths are
+    # made, and each prefix shrinks to its lowest path before it meets the cases
+    lengths = open_rows.groupBy("dir").agg(F.collect_set(F.length("base")).alias("lengths"))
+    volumes = attach(volumes, lengths, ["dir"], ["path"])
+    prefix = F.explode(F.transform(F.filter("lengths", lambda n: n <= F.length("name")), lambda n: F.substring(F.col("name"), F.lit(1), n)))
+    smallest = volumes.select("dir", "path", prefix.alias("base")).groupBy("dir", "base").agg(F.min("path").alias("resolved"))
+    lowest = smallest.join(open_rows.select("dir", "base").distinct(), ["dir", "base"], "left_semi")
     loose = open_rows.join(lowest, ["dir", "base"]).select("case_id", F.lit(5).alias("rule"), "resolved")
     return rows.select("case_id", "path").join(direct.unionByName(loose), "case_id", "left").select("case_id", "path", "resolved", "rule")
 
