@@ -197,6 +197,33 @@ def test_counts_survive_packing():
     assert scoring._from_low_bytes(scoring._low_bytes(pairs), 2, 0).tolist() == pairs.tolist()
 
 
+@pytest.mark.parametrize("buckets", [1, 2, 3, 12, 211, 65536, 70001])
+def test_pairs_keep_their_order_in_a_bucket(buckets):
+    values = np.sort(np.random.default_rng(buckets).integers(0, 2**64, 20_000, np.uint64))
+    values = np.concatenate([np.zeros(1, np.uint64), values, np.full(1, 2**64 - 1, np.uint64)])
+    at = scoring.bucket_of(values, buckets)
+    for k in np.unique(at).tolist()[:500]:
+        own = values[at == k]
+        small = scoring._within(own, k, buckets)
+        assert (np.diff(small.astype(np.int64)) >= 0).all() and int(small.max()) < 1 << 48
+        assert scoring._from_low_bytes(scoring._low_bytes(small), len(small), 0).tolist() == small.tolist()
+
+
+def test_totals_by_ranges():
+    rng = np.random.default_rng(5)
+    blocks = [np.unique(rng.integers(0, 300, n).astype(np.uint64)) for n in (0, 1, 50, 400)]
+    counts = [rng.integers(0, 9, len(b)) for b in blocks]
+    want = Counter()
+    for b, c in zip(blocks, counts):
+        want.update(dict(zip(b.tolist(), c.tolist())))
+    apart = blocks[1][0]
+    for ranges in (1, 7, 500):
+        totals, total, distinct = scoring._totals(blocks, counts, apart, ranges)
+        assert [t.tolist() for t in totals] == [[want[v] for v in b.tolist()] for b in blocks]
+        rest = {v: n for v, n in want.items() if v != int(apart) and n}
+        assert (total, distinct) == (sum(rest.values()), len(rest))
+
+
 def test_shards(spark):
     docs = messy.table(spark)
     got = sharding.assign(docs, sharding.tree(24), sharding.tree(25)).collect()

@@ -37,6 +37,7 @@ PREPARED = "chunk int, documents binary, totals binary"
 SCORES = "doc_id bigint, held_out boolean, n_tokens bigint, n_known bigint, base_score double, score double"
 STATISTICS = -1  # the chunk number under which bucket statistics travel
 PAIR_BYTES = 6
+RANGES = 8  # value ranges a bucket is summed in
 LEVELS = 40  # context buckets: powers of two
 
 
@@ -97,22 +98,47 @@ def _low_bytes(values: np.ndarray) -> bytes:
     return np.ascontiguousarray(values.view(np.uint8).reshape(-1, 8)[:, :PAIR_BYTES]).tobytes()
 
 
+def _within(values: np.ndarray, bucket: int, buckets: int) -> np.ndarray:
+    """Values of a bucket as 48 bits that keep their order: the distance to its lower bound."""
+    bound = np.uint64(-(-(bucket << 32) // buckets) << 32)
+    return (values - bound) >> np.uint64(max(0, 17 - buckets.bit_length()))
+
+
 def _from_low_bytes(data: bytes, n: int, at: int) -> np.ndarray:
     out = np.zeros((n, 8), np.uint8)
     out[:, :PAIR_BYTES] = np.frombuffer(data, np.uint8, n * PAIR_BYTES, at).reshape(-1, PAIR_BYTES)
     return out.reshape(-1).view(np.uint64)
 
 
-def _totals(values: np.ndarray, counts: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Per entry the total of its value; the distinct values and their totals."""
-    grouped = Grouped(values, counts)
-    return grouped.sums[grouped.of], grouped.values, grouped.sums
+def _totals(values: list[np.ndarray], counts: list[np.ndarray], apart=None, ranges: int = RANGES) -> tuple[list[np.ndarray], int, int]:
+    """Per block, each of ascending values, the total of every entry; then the
+    sum and the number of the totals, over values other than ``apart``.
+
+    Works through one value range after another, so what it needs beside its
+    input and output is a part of a bucket.
+    """
+    totals = [np.empty(len(v), np.int64) for v in values]
+    low = min((v[0] for v in values if len(v)), default=np.uint64(0))
+    high = max((v[-1] for v in values if len(v)), default=np.uint64(0))
+    step = (int(high) - int(low)) // ranges + 1
+    cuts = np.array([min(int(low) + k * step, int(high)) for k in range(1, ranges)], np.uint64)
+    edges = [[0, *np.searchsorted(v, cuts).tolist(), len(v)] for v in values]
+    total = distinct = 0
+    for k in range(ranges):
+        grouped = Grouped(np.concatenate([v[e[k] : e[k + 1]] for v, e in zip(values, edges)]), np.concatenate([c[e[k] : e[k + 1]] for c, e in zip(counts, edges)]))
+        each, at = grouped.sums[grouped.of], 0
+        for t, e in zip(totals, edges):
+            t[e[k] : e[k + 1]] = each[at : at + e[k + 1] - e[k]]
+            at += e[k + 1] - e[k]
+        counted = grouped.sums if apart is None else grouped.sums[grouped.values != apart]
+        total, distinct = total + int(counted.sum()), distinct + int(np.count_nonzero(counted))
+    return totals, total, distinct
 
 
 def prepare(docs: DataFrame, folds: int = 10, doc_id: str = "doc_id", text: str = "text") -> DataFrame:
     """Chunks with the corpus totals of all their tokens and pairs, written once."""
     parts = shuffle_partitions(docs)
-    buckets = 2 * parts
+    buckets = parts
     chunks = chunked(docs, 4 * parts, doc_id, text)
 
     def tokens_of(table: pa.Table) -> Tokens:
@@ -129,7 +155,7 @@ def prepare(docs: DataFrame, folds: int = 10, doc_id: str = "doc_id", text: str
             (a, b), (c, d) = one[k : k + 2], two[k : k + 2]
             if b > a or d > c:
                 names.append(k)
-                data.append(np.array([b - a, d - c], np.int64).tobytes() + tokens.single.values[a:b].tobytes() + _low_bytes(tokens.double.values[c:d])
+                data.append(np.array([b - a, d - c], np.int64).tobytes() + tokens.single.values[a:b].tobytes() + _low_bytes(_within(tokens.double.values[c:d], k, buckets))
                             + _counts(tokens.single.sums[a:b]) + _counts(tokens.double.sums[c:d]))
         return pa.table({"bucket": pa.array(names, pa.int32()), "chunk": pa.array([table.column("chunk")[0].as_py()] * len(names), pa.int32()), "data": pa.array(data, pa.binary())})
 
@@ -143,12 +169,10 @@ def prepare(docs: DataFrame, folds: int = 10, doc_id: str = "doc_id", text: str
             c, at = _uncount(data, n, 16 + 8 * n + PAIR_BYTES * m)
             counts1.append(c)
             counts2.append(_uncount(data, m, at)[0])
-        sums1, values, sums = _totals(np.concatenate(singles), np.concatenate(counts1))
-        sums2, _, _ = _totals(np.concatenate(doubles), np.concatenate(counts2))
-        ends1, ends2 = np.cumsum([n for n, _ in sizes]), np.cumsum([m for _, m in sizes])
-        data = [np.array([n, m], np.int64).tobytes() + _counts(sums1[a - n : a]) + _counts(sums2[b - m : b]) for (n, m), a, b in zip(sizes, ends1, ends2)]
-        tokens = values != BEGIN
-        data.append(np.array([sums[tokens].sum(), np.count_nonzero(sums[tokens])], np.int64).tobytes())
+        sums1, total, distinct = _totals(singles, counts1, BEGIN)
+        sums2, _, _ = _totals(doubles, counts2)
+        data = [np.array([n, m], np.int64).tobytes() + _counts(a) + _counts(b) for (n, m), a, b in zip(sizes, sums1, sums2)]
+        data.append(np.array([total, distinct], np.int64).tobytes())
         bucket = table.column("bucket")[0].as_py()
         return pa.table({"bucket": pa.array([bucket] * len(data), pa.int32()), "chunk": pa.array([*table.column("chunk").to_pylist(), STATISTICS], pa.int32()), "data": pa.array(data, pa.binary())})
 
