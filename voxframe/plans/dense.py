@@ -255,18 +255,18 @@ def _(spark, sf):
 
 
 WIDE, CROP = 64, 32
-_WIDE = f"""w as (select distinct l_suppkey % 20 as case_id, cast(l_partkey % {WIDE} as int) as x, cast(l_orderkey % {WIDE} as int) as y, cast(l_linenumber - 1 as int) as z from lineitem where l_returnflag = 'R' and l_linenumber < 6),
- ws as (select distinct l_suppkey % 20 as case_id, cast(l_linenumber - 1 as int) as slice_idx from lineitem),
+_WIDE = f"""w as (select distinct l_suppkey as case_id, cast(l_partkey % {WIDE} as int) as x, cast(l_orderkey % {WIDE} as int) as y, cast(l_linenumber - 1 as int) as z from lineitem where l_returnflag = 'R' and l_tax >= 0.07 and l_discount >= 0.08),
+ ws as (select distinct l_suppkey as case_id, cast(l_linenumber - 1 as int) as slice_idx from lineitem),
  ce as (select ws.case_id, ws.slice_idx, avg(x) as my, avg(y) as mx from ws left join w on w.case_id = ws.case_id and w.z = ws.slice_idx group by 1, 2),
  wi as (select case_id, slice_idx, least(greatest(coalesce(cast(trunc(my) as int) + {int_sql(-8, 8, 'jitter_y')}, {int_sql(16, 48, 'centre_y')}) - 16, 0), 32) as top,
   least(greatest(coalesce(cast(trunc(mx) as int) + {int_sql(-8, 8, 'jitter_x')}, {int_sql(16, 48, 'centre_x')}) - 16, 0), 32) as "left" from ce)"""
 
 
 def wide_mask(spark, sf):
-    """A 64x64x7 mask; the last two slices are empty, so their windows are uniform."""
+    """A sparse 64x64x7 mask; slices without a voxel get uniform windows."""
     t = fx.table(spark, sf, "lineitem")
-    case = (F.col("l_suppkey") % 20).alias("case_id")
-    mask = t.where("l_returnflag = 'R' and l_linenumber < 6").select(
+    case = F.col("l_suppkey").alias("case_id")
+    mask = t.where("l_returnflag = 'R' and l_tax >= 0.07 and l_discount >= 0.08").select(
         case, (F.col("l_partkey") % WIDE).cast("int").alias("x"), (F.col("l_orderkey") % WIDE).cast("int").alias("y"), (F.col("l_linenumber") - 1).cast("int").alias("z")).distinct()
     return mask, t.select(case, (F.col("l_linenumber") - 1).cast("int").alias("slice_idx")).distinct()
 

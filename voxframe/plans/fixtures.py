@@ -23,7 +23,7 @@ def scored_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     return (
         table(spark, sf_dir, "lineitem")
         .groupBy(
-            (F.col("l_suppkey") % 20).alias("case_id"),
+            F.col("l_suppkey").alias("case_id"),
             (F.col("l_partkey") % 16).cast("int").alias("x"),
             (F.col("l_orderkey") % 16).cast("int").alias("y"),
             (F.col("l_linenumber") - 1).cast("int").alias("z"),
@@ -35,7 +35,7 @@ def scored_voxels(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-F1 = """f1 as (select l_suppkey % 20 as case_id, cast(l_partkey % 16 as int) as x, cast(l_orderkey % 16 as int) as y,
+F1 = """f1 as (select l_suppkey as case_id, cast(l_partkey % 16 as int) as x, cast(l_orderkey % 16 as int) as y,
   cast(l_linenumber - 1 as int) as z, max(l_discount * 10) as prob,
   max(case when l_returnflag = 'R' and l_tax >= 0.06 then 1 else 0 end) as gt from lineitem group by 1, 2, 3, 4)"""
 
@@ -44,7 +44,7 @@ def voxel_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Shape and spacing of the F1 cases: one row per distinct case."""
     return (
         table(spark, sf_dir, "lineitem")
-        .select((F.col("l_suppkey") % 20).alias("case_id"))
+        .select(F.col("l_suppkey").alias("case_id"))
         .distinct()
         .select(
             "case_id",
@@ -63,7 +63,7 @@ def voxel_cases(spark: SparkSession, sf_dir: str) -> DataFrame:
 VOXEL_CASES = f"""cases as (select case_id, {N_VOXELS} as n_voxels, {NZ} as n_slices, 0.5::double + (case_id % 5) * 0.125::double as sx,
   0.5::double + (case_id % 5) * 0.125::double as sy, 1.0::double + (case_id % 4) * 0.5::double as sz,
   (0.5::double + (case_id % 5) * 0.125::double) * (0.5::double + (case_id % 5) * 0.125::double) * (1.0::double + (case_id % 4) * 0.5::double) as voxel_mm3
-  from (select distinct l_suppkey % 20 as case_id from lineitem))"""
+  from (select distinct l_suppkey as case_id from lineitem))"""
 
 # paired mask of F1 at threshold 0.5
 MASK = """mask as (select case_id, x, y, z, cast(prob > 0.5 as int) as pred, gt from f1 where prob > 0.5 or gt = 1)"""
