@@ -49,6 +49,27 @@ def test_volume_reader(spark, tmp_path, name, dtype, big):
     assert np.array_equal(stack, np.transpose(data[:, :, ::-1], (2, 0, 1))) and (turned[0].sx, turned[0].sy, turned[0].sz) == (2.0, 1.5, 3.0)
 
 
+def test_header_scan_leaves_contents(spark, tmp_path):
+    folder = tmp_path / "some scans"
+    folder.mkdir()
+    noise = np.random.default_rng(1).integers(0, 255, (64, 64, 20)).astype("uint8")
+    write_nifti(folder / "a b.nii.gz", noise, np.eye(4))
+    write_nifti(folder / "c%20d.nii", noise, np.eye(4))
+    headers = volumes.read_headers(spark, str(folder))
+    assert {(r.case_id, tuple(r.shape)) for r in headers.collect()} == {("a b", (64, 64, 20)), ("c%20d", (64, 64, 20))}
+    plan = headers._jdf.queryExecution().explainString(spark._jvm.org.apache.spark.sql.execution.ExplainMode.fromString("formatted"))
+    assert "content" not in plan.split("ReadSchema:")[1].split("\n")[0]
+
+
+def test_runs_keep_their_whole_configuration(spark, tmp_path):
+    folder = tmp_path / "experiments" / "base" / "seed_7"
+    folder.mkdir(parents=True)
+    (folder / "config.json").write_text(json.dumps({"exp_name": "base", "lr": 0.01, "depth": 5, "window": {"low": -1}}, indent=1))
+    row = tables.discover_runs(spark, str(tmp_path)).first()
+    assert (row.run_id, row.run_seed, row.exp_name, row.lr, row.loss_type) == ("base", 7, "base", 0.01, None)
+    assert row.config == {"exp_name": "base", "lr": "0.01", "depth": "5", "window": '{"low":-1}'}
+
+
 def test_failures_are_reported_and_isolated(spark):
     rows = spark.createDataFrame([("a", 5.0, None), ("b", None, "bad file")], "case_id string, volume double, error string")
     good, failed = audit.split_failures(rows, keep_defaults=True, defaults={"volume": 0.0})

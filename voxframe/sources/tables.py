@@ -76,11 +76,12 @@ def read_csv(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 
 def discover_runs(spark: SparkSession, root: str, config_schema: str = "exp_name string, seed int, model_type string, loss_type string, sampling string, n_adjacent int, lr double") -> DataFrame:
-    """``run_id, seed`` and the configuration of every run folder."""
-    rows = spark.read.schema(config_schema).json(f"{root}/experiments/*/seed_*/config.json", multiLine=True)
+    """``run_id, run_seed`` of every run folder, named configuration fields, and ``config``: all of them as text."""
+    rows = spark.read.text(f"{root}/experiments/*/seed_*/config.json", wholetext=True)
     path = F.col("_metadata.file_path")
     keys = [F.regexp_extract(path, RUN_PATH, 1).alias("run_id"), F.regexp_extract(path, RUN_PATH, 2).cast("int").alias("run_seed")]
-    return rows.select(*keys, "*")
+    named = F.from_json("value", config_schema).alias("named")
+    return rows.select(*keys, named, F.from_json("value", "map<string,string>").alias("config")).select("run_id", "run_seed", "named.*", "config")
 
 
 def read_run_table(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:

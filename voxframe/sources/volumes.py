@@ -9,9 +9,11 @@ from __future__ import annotations
 
 import struct
 import zlib
+from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from .manifest import case_name
@@ -19,6 +21,7 @@ from .manifest import case_name
 # NIfTI-1 data type codes.
 DTYPES = {2: "u1", 4: "i2", 8: "i4", 16: "f4", 64: "f8", 256: "i1", 512: "u2", 768: "u4"}
 HEADER_BYTES = 348
+HEADER_BLOCK = 4096
 
 HEADER = "case_id string, path string, shape array<int>, spacing array<double>, affine array<array<double>>, error string"
 SLICE = "case_id string, slice_idx int, height int, width int, n_slices int, sx double, sy double, sz double, pixels array<float>, error string"
@@ -86,21 +89,36 @@ def _files(spark: SparkSession, pattern: str) -> DataFrame:
     return spark.read.format("binaryFile").load(pattern).select(case_name(F.col("path")).alias("case_id"), "path", "content")
 
 
+def _header_bytes(path: str) -> bytes:
+    """The first bytes of a volume: reads a block, more only if that does not unpack to a header."""
+    files, name = fs.FileSystem.from_uri(path if path.startswith("/") else quote(path, safe=":/@"))
+    content, raw = b"", b""
+    with files.open_input_stream(name, compression=None, buffer_size=0) as stream:
+        while len(raw) < HEADER_BYTES and (block := stream.read(HEADER_BLOCK)):
+            content += block
+            raw = _unpacked(content, HEADER_BYTES)
+    return raw
+
+
 def read_headers(spark: SparkSession, pattern: str) -> DataFrame:
-    """Header columns per file; only the first bytes are unpacked, no voxel is touched."""
+    """Header columns per file, from a block of each; contents are neither loaded nor shipped.
+
+    Tasks open the files through ``pyarrow.fs``, which must know their scheme;
+    a file that it cannot open gives an error row.
+    """
 
     def decode(batches):
         for pdf in batches:
             rows = []
-            for case, path, content in zip(pdf["case_id"], pdf["path"], pdf["content"]):
+            for case, path in zip(pdf["case_id"], pdf["path"]):
                 try:
-                    h = parse_header(_unpacked(content, HEADER_BYTES))
+                    h = parse_header(_header_bytes(path))
                     rows.append((case, path, h["shape"], h["spacing"], h["affine"], None))
                 except Exception as error:
                     rows.append((case, path, None, None, None, str(error)))
             yield pd.DataFrame(rows, columns=["case_id", "path", "shape", "spacing", "affine", "error"])
 
-    return _files(spark, pattern).mapInPandas(decode, HEADER)
+    return list_volumes(spark, pattern).select("case_id", "path").mapInPandas(decode, HEADER)
 
 
 def _canonical(volume: np.ndarray, spacing: list, affine: list) -> tuple[np.ndarray, list]:
