@@ -168,6 +168,37 @@ def test_compression_bands_reject_extremes():
     assert quality.compression(mixed, zstd, bands=((None, 0.0, 1.0),))[2:] == (5, False)
 
 
+def test_limits_fitted_to_clean_texts(spark):
+    rng = np.random.default_rng(4)
+    vocabulary = ["".join(rng.choice(list("etaoinshrdlucmfwyp"), rng.integers(2, 9))) for _ in range(900)]
+
+    def clean(n):
+        return " ".join(rng.choice(vocabulary, n))
+
+    rows = [(i, clean(int(rng.integers(240, 270))), "en") for i in range(400)]
+    wrapped = re.sub("(.{60})", r"\1\n", b64(rng.bytes(1100)))
+    half = clean(110) + "\n" + (clean(30) + "\n") * 5  # repeats, but not below the broad band
+    rows += [(1000, wrapped, "en"), (1001, half, "en"), (1002, wrapped, "xx"), (1003, clean(255), "xx"), (1004, clean(4000), "en"), (1005, clean(60), None)]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)
+    labels = spark.createDataFrame([(i, int(i < 1000)) for i in range(0, 1001, 2)], "doc_id bigint, quality int")
+    limits = quality.fit(docs, labels)
+    assert (False, "en", None) in limits and (False, "xx", None) not in limits
+    fits = docs.select("doc_id", quality.measures("text", min_words=0, max_repeat_percent=100, limits=limits, lang="lang").alias("m")).collect()
+    kept = {r.doc_id: r.m.kept for r in fits}
+    assert sum(not kept[i] for i in range(1, 400, 2)) <= 4
+    assert not kept[1000] and not kept[1001] and not kept[1002] and kept[1003] and kept[1004] and kept[1005]
+    broad = {r.doc_id: r.m.kept for r in docs.select("doc_id", quality.measures("text", min_words=0, max_repeat_percent=100).alias("m")).collect()}
+    assert broad[1000] and broad[1001]  # what the broad bands let through
+    assert quality.fit(docs, labels.where("quality = 2")) == {}
+
+
+def test_the_rest_of_a_text_is_a_chunk():
+    zstd = zstandard.ZstdCompressor(level=3)
+    text = np.random.default_rng(1).choice(list(b"etaoin shrdlu"), 4096).astype(np.uint8).tobytes()
+    assert quality.compression(text + b"x" * 4000, zstd, bands=((None, 0.1, 1.0),))[1:] == (2, 1, True)
+    assert quality.compression(b"x" * 4000, zstd, bands=((None, 0.0, 1.0),), limits={(True, None, 35): (0.4, 0.5)})[1:] == (1, 1, False)
+
+
 def der(tag, *parts):
     body = b"".join(parts)
     size = bytes([len(body)]) if len(body) < 128 else bytes([0x82]) + len(body).to_bytes(2, "big")

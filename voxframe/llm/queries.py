@@ -47,7 +47,9 @@ def op3_substrings(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return table(spark, sf_dir, "documents").select("doc_id", quality.measures("text").alias("m")).select("doc_id", "m.*")
+    docs = table(spark, sf_dir, "documents")
+    limits = quality.fit(docs, table(spark, sf_dir, "labels"))
+    return docs.select("doc_id", quality.measures("text", limits=limits, lang="lang").alias("m")).select("doc_id", "m.*")
 
 
 def op5_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
