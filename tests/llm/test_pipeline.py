@@ -49,3 +49,35 @@ def test_entry_survives_without_the_package():
         "assert len(q) > 100 and not any(k.startswith('op1_') or k == 'pipeline' for k in q)\n"
     )
     subprocess.run([sys.executable, "-c", code], cwd=ROOT, check=True, timeout=120)
+
+
+def test_near_copies_of_similarity_080_go(spark):
+    import random
+
+    import corpus_pipeline
+    from voxframe.llm import shingles
+
+    rng = random.Random(8)
+
+    def sets(text):
+        w = text.lower().split()
+        return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+    def same(a, b):
+        return len(sets(a) & sets(b)) / len(sets(a) | sets(b))
+
+    rows, copies = [], {}
+    for i in range(120):
+        words = [f"w{rng.randrange(3000)}" for _ in range(200)]
+        rows.append((i, " ".join(words)))
+        changed = list(words)
+        for k in rng.sample(range(200), rng.choice([2, 3, 4, 12])):
+            changed[k] = f"n{rng.randrange(3000)}"
+        rows.append((1000 + i, " ".join(changed)))
+        copies[1000 + i] = same(rows[-2][1], rows[-1][1]) >= 0.8
+    rows += [(5000, rows[0][1].upper()), (None, rows[2][1]), (5001, None), (5002, " "), (5003, "a few words"), (5004, "A  few words"), (5005, "other few words")]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(3)
+    kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()}
+    assert {True, False} == set(copies.values())
+    assert kept == {*range(120), *(i for i, near in copies.items() if not near), 5001, 5003, 5005}
+    assert shingles.near_duplicates(docs.limit(0)).count() == 0
