@@ -272,6 +272,34 @@ def test_decontamination(spark):
     assert found(spark, texts[:1] * 3, (ITEM, ITEM)) == {(i, j): True for i in range(3) for j in range(2)}
 
 
+def found_by_runs(spark, texts, items=(ITEM,)):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(texts)], "doc_id bigint, text string")
+    bench = spark.createDataFrame([(i, t) for i, t in enumerate(items)], "item_id bigint, text string")
+    return {(r.doc_id, r.item_id): r.verbatim for r in decontaminate.contaminated(docs, bench, whole_slots=False).collect()}
+
+
+def test_decontamination_by_consistent_runs(spark):
+    broken = ITEM.replace("25", "40", 1).replace("Maria", "Peter", 1)  # 13 tokens and more stay verbatim
+    work = "If 2 workers take 2 days to paint the long fence then how many days do they need for a house"
+    other = work.replace("2 workers", "3 workers").replace("2 days", "5 days")
+    got = found_by_runs(spark, [f"so {broken}", f"so {other}", " ".join(ITEM.split()[:10])], (ITEM, work))
+    assert set(got) == {(0, 0), (1, 1)} and got[1, 1] is False
+    assert set(found(spark, [f"so {other}"], (work,))) == {(0, 0)}  # equal numbers of other things are other slots
+    assert decontaminate._best_run([{"at": i, "form": 0, "item": ["number\nkm\n3"], "doc": [str(i % 2)]} for i in range(9)], [9, 9, 9], 6, 0.5, False) is None
+
+
+@pytest.mark.parametrize("change", [str.lower, str.upper, str.title])
+def test_decontamination_in_other_case(spark, change):
+    dense = "Der Zug von Anna nach Berlin und Bonn mit Karl und Emma faehrt um 9 Uhr ab und Paul kommt aus Mainz mit Otto an"
+    assert found(spark, [f"so {change(ITEM)}", f"so {change(dense)}"], (ITEM, dense)) == {(0, 0): True, (1, 1): True}
+
+
+def test_decontamination_of_short_items(spark):
+    items = ("What is the capital of France?", "1 + 2 = 3", "12 7 19 4 88 3 5 61 90 2", "Anna Bella Carla Dora Emma Frida Gerda Hanna Ida")
+    texts = [f"so it is: {i} and more" for i in items] + ["what is the capital of Spain?", "so 1 - 2 = 3", "12 7 19 4 88 3 5 61 91 2", "Anna Bella Carla Dora Jana Frida Gerda Hanna Ida"]
+    assert found(spark, texts, items) == {(i, i): True for i in range(4)}
+
+
 def test_template_slots():
     template = decontaminate.Template([b"Maria has 3 km and 3 of Peter. Then it", b"", b"Oslo"])
     assert template.slot.tolist() == [False, False, True, True, False, True, False, True, False, False, False]
