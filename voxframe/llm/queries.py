@@ -6,7 +6,7 @@ import os
 
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
-from . import counting, decontaminate, idfiles, neardup, packing, quality, scoring, secrets, sharding, substrings
+from . import compressor, counting, decontaminate, idfiles, neardup, packing, quality, scoring, secrets, sharding, substrings
 
 VOCABULARIES = {"words": "word_bpe_49k.json", "bytes": "byte_bpe_50k.json"}
 SHARDS = 24
@@ -78,6 +78,18 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(idfiles.write_ids(table(spark, sf_dir, "documents"), vocabulary("bytes")))
 
 
+def learnable(doc_id: str) -> Column:
+    """Ids whose labels may be learned from: crc32 of the id as text leaves no 1 by 3."""
+    return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) != 1
+
+
+def op13_compression_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents")
+    model = compressor.fit(docs, table(spark, sf_dir, "labels"), learnable("_id"))
+    held_out = F.coalesce(~learnable("doc_id"), F.lit(False)).alias("held_out")
+    return compressor.score(docs, model).select("doc_id", held_out, "score", (F.col("score") >= 0.5).cast("int").alias("predicted"))
+
+
 def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
     import corpus_pipeline
 
@@ -85,7 +97,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_secrets, op3_substrings, op4_quality, op5_decontamination, op6_sharding, op7_scores,
-                                   op8_token_counts, op9_simhash, op10_id_files, pipeline)}
+                                   op8_token_counts, op9_simhash, op10_id_files, op13_compression_classifier, pipeline)}
 
 # every 13-word window with the smallest document it starts in; a word goes if a window over it has a smaller one
 SUBSTRING_SQL = """
