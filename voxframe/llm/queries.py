@@ -2,11 +2,13 @@
 
 from __future__ import annotations
 
-import os
+import zlib
 
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
+from pyspark.sql.functions import arrow_udf
 
-from . import compressor, counting, decontaminate, idfiles, neardup, packing, quality, scoring, secrets, sharding, substrings
+from . import compressor, counting, decontaminate, idfiles, neardup, packing, periodic, quality, scoring, secrets, sharding, substrings
 
 VOCABULARIES = {"words": "word_bpe_49k.json", "bytes": "byte_bpe_50k.json"}
 SHARDS = 24
@@ -78,6 +80,41 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(idfiles.write_ids(table(spark, sf_dir, "documents"), vocabulary("bytes")))
 
 
+def with_periods(doc_id: str, text: str) -> Column:
+    """Texts of one document in ten with their tail replaced by a repeated period, as op12 asks; others and NULL ids unchanged."""
+
+    def change(ids: pa.Array, texts: pa.Array) -> pa.Array:
+        out = []
+        for number, data in zip(ids.to_pylist(), texts.to_pylist()):
+            h = zlib.crc32(str(number).encode())
+            words = data.split() if number is not None and data and h % 10 == 0 else []
+            if words:
+                g, n = h // 10, len(words)
+                a = g % n
+                p = 1 + (n - a) // (3 + g % 8)
+                data = b" ".join(words[:a] + [words[a + (i - a) % p] for i in range(a, n)])
+            out.append(data)
+        return pa.array(out, pa.binary())
+
+    return arrow_udf(change, "binary")(F.col(doc_id), F.col(text).cast("binary")).cast("string")
+
+
+def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    docs = table(spark, sf_dir, "documents").select("doc_id", with_periods("doc_id", "text").alias("text"))
+    found = periodic.find_runs(docs)
+
+    def before(a: Column, b: Column) -> Column:
+        """The greater exact length / period first, then the smaller start and period."""
+        left, right = a["length"] * b["period"], b["length"] * a["period"]
+        return (F.when(left > right, -1).when(left < right, 1).when(a["start"] < b["start"], -1).when(a["start"] > b["start"], 1)
+                .when(a["period"] < b["period"], -1).when(a["period"] > b["period"], 1).otherwise(0))
+
+    best = F.get(F.array_sort("runs", before), F.lit(0))
+    lines = F.array_join(F.transform("runs", lambda r: F.concat(F.concat_ws(",", r["start"], r["length"], r["period"]), F.lit("\n"))), "")
+    return found.select("doc_id", "n_words", F.size("runs").cast("bigint").alias("n_runs"), F.sha2(lines, 256).alias("runs_sha256"), F.sha2("kept_text", 256).alias("collapsed_sha256"), best.alias("best")).select(
+        "doc_id", "n_words", "n_runs", "best.start", "best.length", "best.period", F.expr("1000 * best.length div best.period").alias("exponent_milli"), "runs_sha256", "collapsed_sha256")
+
+
 def learnable(doc_id: str) -> Column:
     """Ids whose labels may be learned from: crc32 of the id as text leaves no 1 by 3."""
     return F.pmod(F.crc32(F.col(doc_id).cast("string").cast("binary")), F.lit(3)) != 1
@@ -97,7 +134,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_secrets, op3_substrings, op4_quality, op5_decontamination, op6_sharding, op7_scores,
-                                   op8_token_counts, op9_simhash, op10_id_files, op13_compression_classifier, pipeline)}
+                                   op8_token_counts, op9_simhash, op10_id_files, op12_periodic_runs, op13_compression_classifier, pipeline)}
 
 # every 13-word window with the smallest document it starts in; a word goes if a window over it has a smaller one
 SUBSTRING_SQL = """
