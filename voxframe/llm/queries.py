@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from pyspark.sql.functions import arrow_udf
 
-from . import compressor, counting, decontaminate, idfiles, neardup, packing, periodic, quality, scoring, secrets, sharding, substrings
+from . import compressor, counting, decontaminate, idfiles, neardup, packing, periodic, quality, ranking, scoring, secrets, sharding, substrings
 
 VOCABULARIES = {"words": "word_bpe_49k.json", "bytes": "byte_bpe_50k.json"}
 SHARDS = 24
@@ -80,6 +80,10 @@ def op10_id_files(spark: SparkSession, sf_dir: str) -> DataFrame:
     return idfiles.read_ids(idfiles.write_ids(table(spark, sf_dir, "documents"), vocabulary("bytes")))
 
 
+def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def with_periods(doc_id: str, text: str) -> Column:
     """Texts of one document in ten with their tail replaced by a repeated period, as op12 asks; others and NULL ids unchanged."""
 
@@ -134,7 +138,7 @@ def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES = {f.__name__: f for f in (op1_packing, op2_secrets, op3_substrings, op4_quality, op5_decontamination, op6_sharding, op7_scores,
-                                   op8_token_counts, op9_simhash, op10_id_files, op12_periodic_runs, op13_compression_classifier, pipeline)}
+                                   op8_token_counts, op9_simhash, op10_id_files, op11_ranked_search, op12_periodic_runs, op13_compression_classifier, pipeline)}
 
 # every 13-word window with the smallest document it starts in; a word goes if a window over it has a smaller one
 SUBSTRING_SQL = """
@@ -149,5 +153,22 @@ select words.doc_id, cast(len(w) as bigint) as n_words, coalesce(n, 0) as n_remo
 from words left join lost on words.doc_id = lost.doc_id
 """
 
+# scores of all documents for all items from counted terms
+SEARCH_SQL = """
+with terms as (select doc_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')) as term from documents),
+ asked as (select item_id, term, count(*) as times from (select item_id, unnest(list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+   '[\\x00-\\x2F\\x3A-\\x40\\x5B-\\x60\\x7B-\\x7F]+'), lambda w: w <> '')) as term from benchmark) group by all),
+ lengths as (select doc_id, count(*) as n from terms group by doc_id),
+ corpus as (select cast(count(*) as bigint) as n_docs, cast(sum(n) as bigint) as n_terms from lengths),
+ counts as (select doc_id, term, count(*) as tf from terms group by all),
+ weights as (select term, cast(floor(1000 * ln((2 * max(n_docs) + 2) / (2 * count(*) + 1))) as bigint) as w from counts, corpus group by term),
+ parts as (select item_id, doc_id, times * w * ((1000000000 * tf) // (1000 * tf + 12 * (75 + (25 * n * n_docs) // n_terms))) as part
+   from asked join weights using (term) join counts using (term) join lengths using (doc_id), corpus),
+ scores as (select item_id, doc_id, cast(sum(part) as bigint) as score from parts group by all having sum(part) > 0),
+ ranked as (select *, row_number() over (partition by item_id order by score desc, doc_id) as rank from scores)
+select item_id, cast(rank as int) as rank, doc_id, score from ranked where rank <= 20
+"""
+
 
-ORACLE = {"op3_substrings": SUBSTRING_SQL}
+ORACLE = {"op3_substrings": SUBSTRING_SQL, "op11_ranked_search": SEARCH_SQL}
