@@ -219,7 +219,7 @@ def find_runs(docs: DataFrame, least: int = LEAST, power: int = POWER, tile: int
 
     def finish(batches):
         unzip = zstandard.ZstdDecompressor()
-        for batch in batches:
+        for batch in _blocks(batches, 1):
             counts, kept = [], []
             for data, runs in zip(batch.column(1).to_pylist(), batch.column(2).to_pylist()):
                 words = unzip.decompress(data).split()

@@ -2,11 +2,7 @@
 
 from __future__ import annotations
 
-import zlib
-
-import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession, functions as F
-from pyspark.sql.functions import arrow_udf
 
 from . import compressor, counting, decontaminate, idfiles, neardup, packing, periodic, quality, ranking, scoring, secrets, sharding, substrings
 
@@ -84,28 +80,23 @@ def op11_ranked_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return ranking.search(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
-def with_periods(doc_id: str, text: str) -> Column:
-    """Texts of one document in ten with their tail replaced by a repeated period, as op12 asks; others and NULL ids unchanged."""
-
-    def change(ids: pa.Array, texts: pa.Array) -> pa.Array:
-        out = []
-        for number, data in zip(ids.to_pylist(), texts.to_pylist()):
-            h = zlib.crc32(str(number).encode())
-            words = data.split() if number is not None and data and h % 10 == 0 else []
-            if words:
-                g, n = h // 10, len(words)
-                a = g % n
-                p = 1 + (n - a) // (3 + g % 8)
-                data = b" ".join(words[:a] + [words[a + (i - a) % p] for i in range(a, n)])
-            out.append(data)
-        return pa.array(out, pa.binary())
-
-    return arrow_udf(change, "binary")(F.col(doc_id), F.col(text).cast("binary")).cast("string")
+def with_periods(docs: DataFrame) -> DataFrame:
+    """``(doc_id, text)``: one document in ten with its tail replaced by a repeated period, as op12 asks; others and NULL ids unchanged."""
+    h = F.crc32(F.col("doc_id").cast("string").cast("binary"))
+    words = F.filter(F.split("text", r"[\x20\x09-\x0D]+"), lambda w: w != "")
+    some = docs.select("doc_id", "text", F.floor(h / 10).alias("g"), F.when((h % 10 == 0), words).alias("words"))
+    n = F.size("words")
+    first = (F.col("g") % n).cast("int")
+    placed = some.select("doc_id", "text", "words", "g", F.when(n > 0, first).alias("a")).select(
+        "doc_id", "text", "words", "a", (1 + F.floor((n - F.col("a")) / (3 + F.col("g") % 8))).cast("int").alias("p"))
+    times = F.ceil((n - F.col("a")) / F.col("p")).cast("int")
+    tail = F.flatten(F.array_repeat(F.slice("words", F.col("a") + 1, F.col("p")), times))
+    changed = F.array_join(F.slice(F.concat(F.slice("words", F.lit(1), F.col("a")), tail), F.lit(1), n), " ")
+    return placed.select("doc_id", F.when(F.col("a").isNotNull(), changed).otherwise(F.col("text")).alias("text"))
 
 
 def op12_periodic_runs(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = table(spark, sf_dir, "documents").select("doc_id", with_periods("doc_id", "text").alias("text"))
-    found = periodic.find_runs(docs)
+    found = periodic.find_runs(with_periods(table(spark, sf_dir, "documents")))
 
     def before(a: Column, b: Column) -> Column:
         """The greater exact length / period first, then the smaller start and period."""
