@@ -60,6 +60,19 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def drop_table(df: DataFrame) -> None:
+    """Remove the files of a table that ``cut_lineage`` wrote, once nothing reads it any more."""
+    spark = df.sparkSession
+    own = os.path.join(shared_dir(spark), "voxframe", "stage-")
+    folders = {name.rsplit("/", 1)[0] for name in df.inputFiles()}
+    jvm = spark.sparkContext._jvm
+    for folder in folders:
+        if own.split(":", 1)[-1].lstrip("/") not in folder:
+            raise ValueError(f"{folder} is not a table of cut_lineage")
+        path = jvm.org.apache.hadoop.fs.Path(folder)
+        path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for one written table."""
     return os.path.join(shared_dir(spark), "voxframe", f"{name}-{uuid.uuid4().hex}")
