@@ -80,4 +80,71 @@ def test_near_copies_of_similarity_080_go(spark):
     kept = {r.doc_id for r in corpus_pipeline.near_duplicates(spark, docs, SMALL).collect()}
     assert {True, False} == set(copies.values())
     assert kept == {*range(120), *(i for i, near in copies.items() if not near), 5001, 5003, 5005}
-    assert shingles.near_duplicates(docs.limit(0)).count() == 0
+    assert shingles.first_of_each(docs.limit(0)).count() == 0
+    # the parts of the rule: what stays, against all pairs of sets
+    stay = {r.doc_id: r.text for r in docs.collect() if r.doc_id in kept}
+    assert not [(a, b) for a in stay for b in stay if a is not None and b is not None and a < b and stay[a] and stay[b] and same(stay[a], stay[b]) >= 0.8]
+
+
+def test_prefixes_of_similar_sets_meet():
+    import numpy as np
+
+    from voxframe.llm import shingles
+
+    rng = np.random.default_rng(4)
+    for trial in range(400):
+        common = np.sort(rng.choice(400, 60, replace=False).astype(np.uint64) * np.uint64(2))
+        order = rng.permutation(60)
+        a = np.unique(rng.choice(400, rng.integers(1, 120)).astype(np.uint64) * np.uint64(2))
+        b = a.copy()
+        for _ in range(rng.integers(0, 20)):
+            b[rng.integers(len(b))] = rng.integers(400) * 2
+        b = np.unique(b)
+        least = float(rng.choice([0.5, 0.8, 0.9]))
+        both = len(np.intersect1d(a, b))
+        if both / (len(a) + len(b) - both) >= least:
+            x, y = shingles.prefix(a, common, order, least), shingles.prefix(b, common, order, least)
+            assert len(np.intersect1d(x, y)), trial
+
+
+def test_one_passage_and_many_rounds(spark):
+    """Texts that share a passage but are not similar all stay, and similar ones behind other heads are found."""
+    import random
+
+    from voxframe.llm import shingles
+
+    rng = random.Random(3)
+    passage = " ".join(f"p{i}" for i in range(80))
+    rows = [(i, passage + " " + " ".join(f"w{i}x{k}" for k in range(rng.choice([9, 12, 14, 60])))) for i in range(150)]
+    rows += [(1000 + i, t + " end") for i, t in rows[40:60]]
+    docs = spark.createDataFrame(rows, "doc_id bigint, text string").repartition(7)
+    kept = sorted(r.doc_id for r in shingles.first_of_each(docs).collect())
+
+    def sets(text):
+        w = text.split()
+        return {tuple(w[i : i + 5]) for i in range(len(w) - 4)}
+
+    held = {i: sets(t) for i, t in rows}
+    root = {i: i for i in held}
+    for a in held:
+        for b in held:
+            if a < b and len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b]):
+                low, high = sorted((root[a], root[b]))
+                root = {k: low if v == high else v for k, v in root.items()}
+    # a text that left is not compared again, so what stays lies between one of each component and one of each link
+    assert set(root.values()) <= set(kept)
+    assert not [1 for a in kept for b in kept if a < b and len(held[a] & held[b]) >= 0.8 * len(held[a] | held[b])]
+
+
+def test_columns_with_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    import corpus_pipeline
+
+    names = ["_id", "_hash", "_row", "_text_hash", "_h1", "_keep", "_number", "_ROWS", "num", "set", "key"]
+    docs = messy.table(spark).select("*", *[F.concat(F.lit(n), F.col("doc_id")).alias(n) for n in names])
+    for stage in (corpus_pipeline.near_duplicates, corpus_pipeline.decontamination, corpus_pipeline.secret_scans):
+        done = stage(spark, docs, SMALL)
+        assert done.columns == docs.columns
+        for r in done.collect():
+            assert all(r[n] == (None if r.doc_id is None else f"{n}{r.doc_id}") for n in names)
