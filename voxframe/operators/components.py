@@ -10,6 +10,8 @@ component's label is its lowest raster index.
 
 from __future__ import annotations
 
+from collections.abc import Sequence
+
 import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
@@ -22,7 +24,6 @@ from .skew import attach
 DEFAULT_BLOCK = 64
 # at most this many label pairs of one case are joined inside a task (16 MB)
 LOCAL_EDGES = 1_000_000
-LABELLED = "case_id bigint, x int, y int, z int, label bigint"
 
 
 def _join_pairs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -59,8 +60,8 @@ def _lowest_ids(positions: np.ndarray, steps: tuple[int, ...], ids: np.ndarray)
     return lowest[parent]
 
 
-def label_within_blocks(mask: DataFrame, ny: int, nz: int, block: int) -> DataFrame:
-    """Component labels inside each cube of ``block**3`` cells."""
+def label_within_blocks(mask: DataFrame, ny: int, nz: int, block: int, carry: Sequence[str] = ()) -> DataFrame:
+    """Component labels inside each cube of ``block**3`` cells; columns named in ``carry`` stay beside them."""
     side = block + 1  # one spare cell per axis keeps neighbours from wrapping around
     local = [F.pmod(F.col(a), F.lit(block)).cast("bigint") for a in "xyz"]
     cubes = mask.select(
@@ -68,6 +69,7 @@ def label_within_blocks(mask: DataFrame, ny: int, nz: int, block: int) -> DataFr
         raster_index("x", "y", "z", F.lit(ny), F.lit(nz)).alias("id"),
         *[F.floor(F.col(a) / block).cast("int").alias(f"b{a}") for a in "xyz"],
         ((local[0] * side + local[1]) * side + local[2]).alias("cell"),
+        *carry,
     )
 
     def label(table: pa.Table, starts: np.ndarray):
@@ -75,11 +77,12 @@ def label_within_blocks(mask: DataFrame, ny: int, nz: int, block: int) -> DataFr
         cube = np.repeat(np.arange(len(starts)), np.diff(np.append(starts, table.num_rows)))
         positions = table.column("cell").to_numpy() + cube * (side**3 + side**2)
         labels = _lowest_ids(positions, (side * side, side, 1), table.column("id").to_numpy())
-        out = table.select(VOXEL).append_column("label", pa.array(labels))
+        out = table.select([*VOXEL, *carry]).append_column("label", pa.array(labels))
         yield from out.to_batches()
 
-    kind = mask.schema["case_id"].dataType.simpleString()
-    return map_sorted_groups(cubes, ["case_id", "bx", "by", "bz"], ["cell"], LABELLED.replace("bigint", kind, 1), label, mask)
+    kinds = {c: mask.schema[c].dataType.simpleString() for c in ("case_id", *carry)}
+    schema = ", ".join([f"case_id {kinds['case_id']}", "x int, y int, z int", *[f"{c} {kinds[c]}" for c in carry], "label bigint"])
+    return map_sorted_groups(cubes, ["case_id", "bx", "by", "bz"], ["cell"], schema, label, mask)
 
 
 def _face_edges(labelled: DataFrame, block: int) -> DataFrame:
@@ -157,15 +160,15 @@ def _resolve_by_stars(edges: DataFrame) -> DataFrame:
         current = cut_lineage(small)
 
 
-def connected_components(mask: DataFrame, ny: int, nz: int, block: int = DEFAULT_BLOCK, local_edges: int = LOCAL_EDGES) -> DataFrame:
-    """``(case_id, x, y, z, label)`` with the lowest raster index as label."""
-    labelled = cut_lineage(label_within_blocks(mask, ny, nz, block))
+def connected_components(mask: DataFrame, ny: int, nz: int, block: int = DEFAULT_BLOCK, local_edges: int = LOCAL_EDGES, carry: Sequence[str] = ()) -> DataFrame:
+    """``(case_id, x, y, z, label)`` with the lowest raster index as label, and the columns of ``mask`` named in ``carry``."""
+    labelled = cut_lineage(label_within_blocks(mask, ny, nz, block, carry))
     edges = _face_edges(labelled, block)
     roots = resolve_graph(edges, local_edges)
     if roots is None:
         return labelled
     merged = attach(labelled, roots, ["case_id", "label"], ["x", "y", "z"], how="left")
-    return merged.select(*VOXEL, F.coalesce("root", "label").alias("label"))
+    return merged.select(*VOXEL, *carry, F.coalesce("root", "label").alias("label"))
 
 
 def component_sizes(labelled: DataFrame) -> DataFrame:
@@ -203,7 +206,11 @@ def component_fate(labelled: DataFrame, min_fraction: float = 0.10, min_voxels:
     The largest component (lowest label on ties) always stays; with both limits
     off everything does.
     """
-    sizes = component_sizes(labelled)
+    return fate_of_sizes(component_sizes(labelled), min_fraction, min_voxels)
+
+
+def fate_of_sizes(sizes: DataFrame, min_fraction: float = 0.10, min_voxels: int = 0) -> DataFrame:
+    """The same from one row ``case_id, label, size`` per component; further columns stay."""
     if min_fraction <= 0 and min_voxels <= 0:
         return sizes.withColumn("keep", F.lit(True))
     top = sizes.groupBy("case_id").agg(
@@ -211,7 +218,7 @@ def component_fate(labelled: DataFrame, min_fraction: float = 0.10, min_voxels:
     )
     cutoff = F.greatest(F.lit(float(min_voxels)), F.lit(float(min_fraction)) * F.col("_max"))
     return attach(sizes, top, ["case_id"], ["label"]).select(
-        "case_id", "label", "size", ((F.col("size") >= cutoff) | (F.col("label") == F.col("_first"))).alias("keep")
+        *sizes.columns, ((F.col("size") >= cutoff) | (F.col("label") == F.col("_first"))).alias("keep")
     )
 
 

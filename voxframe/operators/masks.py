@@ -6,16 +6,15 @@ A paired mask table has one row per voxel set in either mask:
 
 from __future__ import annotations
 
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from ..functions.scalars import binarize
+from .cubes import coordinates, map_cubes
 
 VOXEL = ["case_id", "x", "y", "z"]
 
-# The six face neighbours.
-FACES = ((1, 0, 0), (-1, 0, 0), (0, 1, 0), (0, -1, 0), (0, 0, 1), (0, 0, -1))
-
-
 def align_masks(pred: DataFrame, truth: DataFrame) -> DataFrame:
     """Full outer alignment as a union and one grouping, so a single shuffle."""
     both = pred.select(*VOXEL, F.lit(1).alias("pred"), F.lit(0).alias("gt")).unionByName(
@@ -41,35 +40,20 @@ def raster_index(x, y, z, ny, nz):
 def surface(mask: DataFrame, flags: tuple[str, ...] = ("pred", "gt")) -> DataFrame:
     """Foreground voxels with at least one background face neighbour.
 
-    Every voxel reports itself to its six neighbours and one grouping counts
-    the reports, for all mask flags at once; beyond the border is background.
+    Columns ``in_`` tell whether the voxel belongs to each mask, ``_surface`` whether
+    it lies on its surface. One shuffle of the mask with the faces of its cubes.
     """
-    steps = F.array(
-        F.struct(F.lit(0).alias("dx"), F.lit(0).alias("dy"), F.lit(0).alias("dz")),
-        *[F.struct(F.lit(a).alias("dx"), F.lit(b).alias("dy"), F.lit(c).alias("dz")) for a, b, c in FACES],
-    )
-    reports = mask.select(*VOXEL, *flags, F.explode(steps).alias("s"))
-    own = (F.col("s.dx") == 0) & (F.col("s.dy") == 0) & (F.col("s.dz") == 0)
-    reports = reports.select(
-        "case_id",
-        (F.col("x") + F.col("s.dx")).alias("x"),
-        (F.col("y") + F.col("s.dy")).alias("y"),
-        (F.col("z") + F.col("s.dz")).alias("z"),
-        *[F.when(own, F.col(f)).otherwise(0).alias(f"_self_{f}") for f in flags],
-        *[F.when(~own, F.col(f)).otherwise(0).alias(f"_near_{f}") for f in flags],
-    )
-    counted = reports.groupBy(*VOXEL).agg(
-        *[F.max(f"_self_{f}").alias(f"_self_{f}") for f in flags],
-        *[F.sum(f"_near_{f}").alias(f"_near_{f}") for f in flags],
-    )
-    on_surface = {f: ((F.col(f"_self_{f}") == 1) & (F.col(f"_near_{f}") < 6)).cast("int") for f in flags}
-    # "in" flags tell whether the voxel itself belongs to each mask
-    out = counted.select(
-        *VOXEL,
-        *[F.col(f"_self_{f}").alias(f"in_{f}") for f in flags],
-        *[on_surface[f].alias(f"{f}_surface") for f in flags],
-    )
-    return out.where(" or ".join(f"{f}_surface = 1" for f in flags))
+    kind = mask.schema["case_id"].dataType.simpleString()
+    schema = f"case_id {kind}, x int, y int, z int, " + ", ".join([f"in_{f} int" for f in flags] + [f"{f}_surface int" for f in flags])
+
+    def rows(case: pa.Array, cube: np.ndarray, core: np.ndarray, skin: np.ndarray):
+        at, cell = np.nonzero(skin)
+        columns = [case.take(pa.array(at)), *map(pa.array, coordinates(cube[at], cell))]
+        for bits in (core[at, cell], skin[at, cell]):
+            columns += [pa.array((bits >> i & 1).astype(np.int32)) for i in range(len(flags))]
+        yield pa.RecordBatch.from_arrays(columns, names=["case_id", "x", "y", "z", *[f"in_{f}" for f in flags], *[f"{f}_surface" for f in flags]])
+
+    return map_cubes(mask, flags, schema, rows)
 
 
 def stack_slices(slices: DataFrame, depth: DataFrame, value: str, default: float = 0.0) -> DataFrame:
