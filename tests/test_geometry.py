@@ -175,3 +175,41 @@ def test_crop_and_uncrop_are_inverse(spark):
     assert cropped.agg(F.min("x"), F.max("x"), F.max("y")).first()[0] >= 0
     back = geometry.uncrop(cropped, box)
     assert back.exceptAll(src).isEmpty() and back.count() == src.where("x between 1 and 4 and y between 2 and 5").count()
+
+
+def test_runs_and_their_overlaps():
+    from voxframe.operators import bodies
+
+    rng = np.random.default_rng(2)
+    for _ in range(60):
+        height, width = rng.integers(1, 12, 2)
+        a, b = (rng.random((2, height, width)) < 0.5)
+        got = bodies.runs_of(a)
+        rebuilt = np.zeros_like(a)
+        for line, start, end in got:
+            rebuilt[line, start:end] = True
+            assert not (start and a[line, start - 1]) and not (end < width and a[line, end])
+        assert (rebuilt == a).all()
+        for down in (0, 1):
+            other = bodies.runs_of(b)
+            i, j = bodies.overlaps(got, other, down, int(width))
+            want = {(p, q) for p, (l, s, e) in enumerate(got) for q, (m, t, f) in enumerate(other) if m == l + down and s < f and t < e}
+            assert set(zip(i.tolist(), j.tolist())) == want and len(i) == len(want)
+
+
+def test_body_components_of_arrays_are_those_of_voxels(spark):
+    from voxframe.operators import bodies, components
+
+    rng = np.random.default_rng(6)
+    volumes_ = {str(i): np.where(rng.random(s) < share, 100.0, -900.0) for i, (s, share) in enumerate([((9, 7, 70), 0.3), ((12, 5, 40), 0.45), ((6, 6, 33), 0.2), ((4, 4, 3), 0.0), ((3, 5, 4), 1.0)])}
+    volumes_["1"][2, 2, 3] = np.nan
+    slices = slices_of(spark, volumes_)
+    got = bodies.body_components(slices)
+    masks = voxels(spark, {int(c): (v > -500).astype(int) for c, v in volumes_.items()}).withColumn("case_id", F.col("case_id").cast("string"))
+    want = components.connected_components(masks, 64, 128).groupBy("case_id", "label").agg(
+        F.count("*").alias("size"), *[f(a).cast("int").alias(f"{a}{n}") for a in "xyz" for n, f in (("0", F.min), ("1", F.max))]).drop("label")
+    rows = lambda df: sorted(tuple(r) for r in df.select("case_id", "size", "x0", "x1", "y0", "y1", "z0", "z1").collect())
+    assert rows(got) == rows(want)
+    shapes = spark.createDataFrame([(c, *v.shape) for c, v in volumes_.items()], "case_id string, nx int, ny int, nz int")
+    boxes = {r.case_id: tuple(r)[1:] for r in bodies.body_box(slices, shapes, margin=1).collect()}
+    assert boxes["3"] == (0, 4, 0, 4, 0, 3) and boxes["4"] == (0, 3, 0, 5, 0, 4) and len(boxes) == 5

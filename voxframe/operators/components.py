@@ -26,7 +26,7 @@ DEFAULT_BLOCK = 64
 LOCAL_EDGES = 1_000_000
 
 
-def _join_pairs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+def join_pairs(n: int, a: np.ndarray, b: np.ndarray) -> np.ndarray:
     """Lowest member of each of ``n`` items' sets after joining ``a[i]`` with ``b[i]``."""
     parent = np.arange(n)
     while True:
@@ -54,7 +54,7 @@ def _lowest_ids(positions: np.ndarray, steps: tuple[int, ...], ids: np.ndarray)
         at = np.minimum(np.searchsorted(positions, positions + step), len(positions) - 1)
         hit = np.flatnonzero(positions[at] == positions + step)
         pairs.append(np.stack([hit, at[hit]]))
-    parent = _join_pairs(len(positions), *np.concatenate(pairs, axis=1))
+    parent = join_pairs(len(positions), *np.concatenate(pairs, axis=1))
     lowest = np.full(len(positions), np.iinfo(np.int64).max)
     np.minimum.at(lowest, parent, ids)
     return lowest[parent]
@@ -127,7 +127,7 @@ def _resolve_in_task(edges: DataFrame) -> DataFrame:
         case = table.column("case_id")
         for start, end in zip(starts, np.append(starts[1:], table.num_rows)):
             nodes, at = np.unique(np.concatenate([u[start:end], v[start:end]]), return_inverse=True)
-            parent = _join_pairs(len(nodes), at[: end - start], at[end - start :])
+            parent = join_pairs(len(nodes), at[: end - start], at[end - start :])
             name = pa.array([case[int(start)].as_py()] * len(nodes), case.type)
             yield pa.RecordBatch.from_arrays([name, pa.array(nodes), pa.array(nodes[parent])], names=["case_id", "label", "root"])
 

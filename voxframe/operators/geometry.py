@@ -42,15 +42,6 @@ def restore_orientation(voxels: DataFrame, geometry: DataFrame) -> DataFrame:
     return rows.select("case_id", *back, *rest)
 
 
-def body_voxels(slices: DataFrame, above: float = -500.0) -> DataFrame:
-    """Voxels of slice arrays brighter than ``above``; ``width`` gives the row length."""
-    pixel = slices.select("case_id", "slice_idx", "width", F.posexplode("pixels").alias("p", "v")).where(F.col("v") > above)
-    return pixel.select(
-        "case_id", F.floor(F.col("p") / F.col("width")).cast("int").alias("x"), (F.col("p") % F.col("width")).cast("int").alias("y"),
-        F.col("slice_idx").alias("z"),
-    )
-
-
 def body_bbox(labelled: DataFrame, cases: DataFrame, margin: int = 5) -> DataFrame:
     """Half-open box around the largest component, widened and clamped.
 
@@ -60,6 +51,11 @@ def body_bbox(labelled: DataFrame, cases: DataFrame, margin: int = 5) -> DataFra
     per_label = labelled.groupBy("case_id", "label").agg(
         F.count("*").alias("size"), *[f(a).alias(f"{a}{n}") for a in AXES for n, f in (("0", F.min), ("1", F.max))]
     )
+    return boxes_of(per_label, cases, margin)
+
+
+def boxes_of(per_label: DataFrame, cases: DataFrame, margin: int = 5) -> DataFrame:
+    """The same from one row ``case_id, label, size, x0, x1, y0, y1, z0, z1`` per component."""
     box = F.struct(*[F.col(f"{a}{n}") for a in AXES for n in "01"])
     largest = per_label.groupBy("case_id").agg(F.max_by(box, F.struct(F.col("size"), -F.col("label"))).alias("b"))
     joined = cases.select("case_id", "nx", "ny", "nz").join(largest, "case_id", "left")

@@ -8,11 +8,12 @@ from pyspark.sql import DataFrame, functions as F, types as T
 
 from ..functions import orientation as ori
 from ..functions import scalars
-from .components import connected_components
-from .geometry import body_bbox, body_voxels, restore_orientation
+from ..session import cut_lineage
+from .bodies import body_box
+from .geometry import restore_orientation
 from .masks import align_masks
 from .overlap import confusion, dice
-from .resample import axis_weights, resample, resample_depth, resize_slices
+from .resample import axis_weights, output_length, resample, resample_depth, resize_slices
 from .skew import attach
 
 
@@ -89,25 +90,25 @@ def reconstruct(slices: DataFrame, metadata: DataFrame, threshold: float = 0.5,
     return restored.select("case_id", "x", "y", "z") if binarize else restored
 
 
-def preprocess(images: DataFrame, labels: DataFrame, size: tuple[int, int] = (192, 192), target: float = 1.0,
-               margin: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+def forward(images: DataFrame, labels: DataFrame, size: tuple[int, int] = (192, 192), target: float = 1.0,
+            margin: int = 5) -> tuple[DataFrame, DataFrame, DataFrame, DataFrame]:
     """Forward chain on canonical slices: resample, crop to the body, window, resize.
 
     Inputs carry ``case_id, slice_idx, height, width, n_slices, sx, sy, sz, pixels``
-    in canonical orientation. Returns image slices, label slices and boxes with
-    the resampled and cropped shapes.
+    in canonical orientation. Returns image slices, label slices, the label slices
+    before they were resized, and boxes with the resampled and cropped shapes.
     """
-    image = resample(images, target, order=1)
+    # read by the search for the body and by the cut
+    image = cut_lineage(resample(images, target, order=1))
     label = resample(labels, target, order=0)
-    shapes = image.groupBy("case_id").agg(F.first("height").alias("nx"), F.first("width").alias("ny"), F.first("n_slices").alias("nz"))
-    body = body_voxels(image)
-    widest = shapes.agg(F.max("ny").alias("ny"), F.max("nz").alias("nz")).first()
-    boxes = body_bbox(connected_components(body, int(widest.ny), int(widest.nz)), shapes, margin)
-    shaped = boxes.join(shapes, "case_id").select(
+    out = [output_length(F.first(n), F.first(f"s{a}") / F.lit(float(target))).cast("int").alias(f"n{a}") for n, a in (("height", "x"), ("width", "y"), ("n_slices", "z"))]
+    shapes = images.groupBy("case_id").agg(*out)
+    boxes = body_box(image, shapes, margin)
+    shaped = cut_lineage(boxes.join(shapes, "case_id").select(
         "case_id", F.struct(*[c for c in boxes.columns if c != "case_id"]).alias("crop_bbox"),
         F.array("nx", "ny", "nz").alias("resampled_shape"),
         F.array(*[F.col(f"{a}_max") - F.col(f"{a}_min") for a in "xyz"]).alias("cropped_shape"),
-    )
+    ))
 
     def cut(slices: DataFrame) -> DataFrame:
         rows = attach(slices, shaped, ["case_id"], ["slice_idx"])
@@ -124,7 +125,15 @@ def preprocess(images: DataFrame, labels: DataFrame, size: tuple[int, int] = (19
         )
 
     windowed = cut(image).withColumn("pixels", scalars.hu_window(F.col("pixels")))
-    return resize_slices(windowed, *size), resize_slices(cut(label), *size, label=True), shaped
+    cropped = cut(label)
+    return resize_slices(windowed, *size), resize_slices(cropped, *size, label=True), cropped, shaped
+
+
+def preprocess(images: DataFrame, labels: DataFrame, size: tuple[int, int] = (192, 192), target: float = 1.0,
+               margin: int = 5) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """Image slices, label slices and boxes with the shapes; see :func:`forward`."""
+    image, label, _, shaped = forward(images, labels, size, target, margin)
+    return image, label, shaped
 
 
 def roundtrip_qc(labels: DataFrame, metadata: DataFrame, truth: DataFrame, flag_below: float = 0.80, run: bool = True) -> DataFrame:

@@ -30,9 +30,9 @@ BASE = (fx.F1, fx.VOXEL_CASES, fx.MASK, CONF, MET, FLAGS)
 NB = "nb as (select * from (values (1,0,0),(-1,0,0),(0,1,0),(0,-1,0),(0,0,1),(0,0,-1)) t(dx,dy,dz))"
 
 
-def components_sql(source: str, out: str) -> str:
-    rid = f"(x * {fx.NY} + y) * {fx.NZ} + z"
-    pid = f"(p.x * {fx.NY} + p.y) * {fx.NZ} + p.z"
+def components_sql(source: str, out: str, ny: int = fx.NY, nz: int = fx.NZ) -> str:
+    rid = f"(x * {ny} + y) * {nz} + z"
+    pid = f"(p.x * {ny} + p.y) * {nz} + p.z"
     return f"""{out}_reach(case_id, x, y, z, label) as (select case_id, x, y, z, cast({rid} as bigint) from {source} union
   select p.case_id, p.x, p.y, p.z, r.label from {out}_reach r, nb, {source} p
   where p.case_id = r.case_id and p.x = r.x + dx and p.y = r.y + dy and p.z = r.z + dz and r.label < {pid}),

@@ -73,6 +73,15 @@ def drop_table(df: DataFrame) -> None:
         path.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(path, True)
 
 
+def free_shuffles(spark: SparkSession) -> None:
+    """Let go of the shuffle files of finished steps now.
+
+    Spark removes them when the driver's JVM collects the plans that made them, which a
+    chain of large steps with little work on the driver may not see for long.
+    """
+    spark.sparkContext._jvm.System.gc()
+
+
 def scratch_path(spark: SparkSession, name: str) -> str:
     """A fresh path in the shared folder for one written table."""
     return os.path.join(shared_dir(spark), "voxframe", f"{name}-{uuid.uuid4().hex}")
