@@ -3,6 +3,7 @@
 import gzip
 import math
 
+import numpy as np
 import pytest
 
 from voxframe.operators import masks, monitors, overlap, sweep
@@ -61,3 +62,18 @@ def test_gzip_members_are_joined_and_cut_files_refused():
     assert volumes._unpacked(body, 348) == b"a" * 300 + b"b" * 48
     with pytest.raises(ValueError):
         volumes._unpacked(body[:-9])
+
+
+def test_intensity_stats_with_nan_and_large_offset(spark):
+    from voxframe.operators import audit
+
+    rng = np.random.default_rng(1)
+    volumes = {1: [1e8 + rng.normal(0, 1, 50) for _ in range(7)], 2: [np.array([1.0, np.nan, 3.0]), np.array([0.5])], 3: [np.array([4.0])]}
+    rows = [(c, i, [float(x) for x in v]) for c, vs in volumes.items() for i, v in enumerate(vs)] + [(4, 0, []), (4, 1, None)]
+    df = spark.createDataFrame(rows, "case_id bigint, slice_idx int, pixels array<double>").repartition(3)
+    got = {r.case_id: r for r in audit.intensity_stats(df).collect()}
+    full = np.concatenate(volumes[1])
+    assert got[1].mean == pytest.approx(full.mean(), rel=1e-14) and got[1]["std"] == pytest.approx(full.std(), rel=1e-6)
+    assert (got[1].min, got[1].max) == (full.min(), full.max()) and got[1].p5 == pytest.approx(np.quantile(full, 0.05), rel=1e-14)
+    assert got[2].min == 0.5 and all(np.isnan(got[2][c]) for c in ("max", "mean", "std", "p5", "p95"))
+    assert (got[3].min, got[3]["std"], got[3].p95) == (4.0, 0.0, 4.0) and 4 not in got

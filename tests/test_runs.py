@@ -137,3 +137,28 @@ def test_confident_background_does_not_vanish(spark):
     p = 1 / (1 + np.exp(20.0))
     r = losses.slice_losses(pixels(spark, [[p] * 1000], [[0] * 1000])).first()
     assert 0 < r.ce < 1e-8 and r.dice == pytest.approx(1.0)
+
+
+@pytest.mark.parametrize("block", [1, 3, 16, 4096])
+def test_accepted_epochs_equal_a_walk(spark, block):
+    rng = np.random.default_rng(9)
+    runs, delta = {}, 0.05
+    for run in range(12):
+        steps = rng.choice([-0.03, 0.0, 0.01, 0.04, 0.049, 0.051, 0.2], 200, p=[0.2, 0.1, 0.3, 0.2, 0.1, 0.05, 0.05])
+        scores = np.round(np.cumsum(steps), 6)
+        if run == 3:
+            scores[:] = 0.5
+        if run == 4:
+            scores[rng.random(200) < 0.3] = np.nan
+        runs[run] = scores.tolist()
+    rows = [(r, e + 1, s) for r, scores in runs.items() for e, s in enumerate(scores)]
+    df = spark.createDataFrame(rows, "run_id bigint, epoch int, score double").repartition(5)
+    want = []
+    for r, scores in runs.items():
+        best = -np.inf
+        for e, s in enumerate(scores):
+            if s > best + delta:
+                best = s
+                want.append((r, e + 1, s))
+    assert sorted(tuple(r) for r in monitors.improvements(df, delta, block).collect()) == want
+    assert monitors.improvements(df.limit(0), delta, block).count() == 0

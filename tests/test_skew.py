@@ -67,3 +67,15 @@ def test_draws_are_uniform_and_repeatable(spark):
     a, b = df.agg(F.avg("u"), F.min("u"), F.max("u"), F.countDistinct("i"), F.min("i"), F.max("i")).first(), df.agg(F.avg("u")).first()
     assert a[0] == pytest.approx(0.5, abs=0.01) and a[0] == pytest.approx(b[0]) and 0 <= a[1] and a[2] < 1
     assert a[3:] == (5, -2, 2)
+
+
+@pytest.mark.parametrize("most", [1, 5, 40])
+def test_quantiles_by_narrowing(spark, most):
+    rng = np.random.default_rng(3)
+    groups = {k: np.round(rng.normal(0, 3, n), d) for k, (n, d) in enumerate([(1, 3), (2, 0), (500, 3), (500, 0), (37, 1)])}
+    rows = [(k, float(v), int(w)) for k, vs in groups.items() for v, w in zip(vs, rng.integers(1, 4, len(vs)))]
+    df = spark.createDataFrame(rows, "k int, v double, w int")
+    got = {r.k: (r.a, r.b) for r in exact_quantiles(df, ["k"], "v", {"a": 0.05, "b": 0.73}, weight="w", splits=4, most=most).collect()}
+    for k in groups:
+        full = np.repeat([v for g, v, _ in rows if g == k], [w for g, _, w in rows if g == k])
+        assert got[k] == pytest.approx(tuple(np.quantile(full, [0.05, 0.73])))

@@ -3,7 +3,7 @@ beyond attaching per-case attributes."""
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
 from .skew import attach
 
@@ -83,23 +83,26 @@ def uncrop(voxels: DataFrame, boxes: DataFrame) -> DataFrame:
     return rows.select("case_id", *[(F.col(a) + F.col(f"{a}_min")).alias(a) for a in AXES], *rest)
 
 
-def neighbour_stack(slices: DataFrame, depth: DataFrame, value: str, n: int = 3) -> DataFrame:
+def neighbour_stack(slices: DataFrame, depth: DataFrame, value: str, n: int = 3, block: int = 64) -> DataFrame:
     """Channels s-h..s+h of the same case as columns ``c0..c{n-1}``.
 
-    A neighbour outside the volume repeats the edge slice. An equi-join on the
-    clamped index; ``depth`` is one ``(case_id, n_slices)`` row per case.
+    A neighbour outside the volume repeats the edge slice, one missing inside it is
+    NULL. Blocks of slices go to tasks whole, with copies of the ``h`` slices beside
+    them, so arrays are shuffled once; ``depth`` is one ``(case_id, n_slices)`` row per case.
     """
     from ..functions.registry import check_neighbours
 
     half = check_neighbours(n) // 2
-    rows = attach(slices.select("case_id", "slice_idx"), depth.select("case_id", "n_slices"), ["case_id"], ["slice_idx"])
-    offsets = F.explode(F.array(*[F.struct(F.lit(k).alias("channel"), F.lit(k - half).alias("o")) for k in range(n)]))
-    wanted = rows.select("case_id", "slice_idx", "n_slices", offsets.alias("w")).select(
-        "case_id", "slice_idx", "w.channel",
-        F.least(F.greatest(F.col("slice_idx") + F.col("w.o"), F.lit(0)), F.col("n_slices") - 1).cast("int").alias("_source"),
-    )
-    source = slices.select("case_id", F.col("slice_idx").alias("_source"), value)
-    found = wanted.join(source, ["case_id", "_source"])
-    return found.groupBy("case_id", "slice_idx").agg(
-        *[F.max(F.when(F.col("channel") == k, F.col(value))).alias(f"c{k}") for k in range(n)]
-    )
+    s = F.col("slice_idx")
+    own, first, last = (F.floor(at / block).cast("int") for at in (s, s - half, s + half))
+    rows = slices.select("case_id", "slice_idx", own.alias("_own"), F.explode(F.sequence(first, last)).alias("_block"), F.col(value).alias("_value"))
+    spans = depth.where("n_slices > 0").select("case_id", "n_slices", F.explode(F.sequence(F.lit(0), F.floor((F.col("n_slices") - 1) / block).cast("int"))).alias("_block"))
+    met = rows.join(spans, ["case_id", "_block"])
+    order = W.partitionBy("case_id", "_block").orderBy("slice_idx")
+    at = {0: F.col("_value")}
+    for step in range(1, half + 1):
+        below, above = (F.first("_value").over(order.rangeBetween(o, o)) for o in (-step, step))
+        at[-step] = F.when(s - step < 0, at[1 - step]).otherwise(below)
+        at[step] = F.when(s + step > F.col("n_slices") - 1, at[step - 1]).otherwise(above)
+    channels = [at[k - half].alias(f"c{k}") for k in range(n)]
+    return met.select("case_id", "slice_idx", "_own", "_block", *channels).where("_own = _block").drop("_own", "_block")

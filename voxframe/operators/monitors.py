@@ -1,9 +1,9 @@
 """Training-run monitors over history tables ``(run_id, epoch, ...)``.
 
 Epochs of a run are consecutive integers. A run may be very long, so the
-monitors use small look-aheads, blocked running maxima and per-run minima;
-only the early-stopping state, whose steps depend on each other, walks a run,
-and then over the running records alone.
+monitors use small look-aheads, blocked running maxima and per-run minima. The
+early-stopping state, whose steps depend on each other, is worked out block by
+block; a walk over the blocks passes on one number.
 """
 
 from __future__ import annotations
@@ -13,11 +13,14 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, Window as W, functions as F
 
 from ..functions.scalars import binarize
+from ..session import cut_lineage
+from .batches import map_sorted_groups
 from .skew import running_before
 
 # Default settings of the monitors.
 MIN_DELTA, PATIENCE, MIN_EPOCHS = 1e-4, 10, 15
 COLLAPSE_PEAK, COLLAPSE_PATIENCE, ZERO_TOLERANCE = 0.10, 3, 1e-6
+BLOCK = 4096
 
 
 def epoch_loss(batches: DataFrame) -> DataFrame:
@@ -47,29 +50,62 @@ def best_so_far(history: DataFrame) -> DataFrame:
     )
 
 
-def improvements(history: DataFrame, min_delta: float = MIN_DELTA) -> DataFrame:
+def improvements(history: DataFrame, min_delta: float = MIN_DELTA, block: int = BLOCK) -> DataFrame:
     """Epochs that raise the best score by more than ``min_delta``.
 
-    Such an epoch always exceeds every earlier score, so only running records
-    are walked. The walk streams a sorted run and keeps one number.
+    Such an epoch always exceeds every earlier score, so only running records matter,
+    and what a stretch of them does to the best score is a step function of the score
+    that it is entered with. Blocks of epochs work out theirs on their own (chains of
+    accepted records soon run together, so it has few steps), one walk over the blocks
+    of a run finds the score each is entered with, and the blocks then name their epochs.
     """
-    records = best_so_far(history).where("is_best").select("run_id", "epoch", "score")
-
-    def walk(batches):
-        run, best = None, -np.inf
-        for batch in batches:
-            keep = []
-            for i, (r, score) in enumerate(zip(batch.column(0).to_pylist(), batch.column(2).to_pylist())):
-                if r != run:
-                    run, best = r, -np.inf
-                if score > best + min_delta:
-                    best = score
-                    keep.append(i)
-            yield batch.take(pa.array(keep, pa.int64()))
-
     kind = history.schema["run_id"].dataType.simpleString()
-    ordered = records.select("run_id", F.col("epoch").cast("int"), "score").repartition("run_id").sortWithinPartitions("run_id", "epoch")
-    return ordered.mapInArrow(walk, f"run_id {kind}, epoch int, score double")
+    records = cut_lineage(best_so_far(history).where("is_best").select("run_id", F.col("epoch").cast("int"), "score", F.floor(F.col("epoch") / block).cast("bigint").alias("block")))
+
+    def follow(scores: np.ndarray) -> np.ndarray:
+        """The next record accepted after each; as many as there are for none."""
+        return np.searchsorted(scores, scores + min_delta, side="right")
+
+    def steps(table: pa.Table, starts: np.ndarray):
+        scores, rows = table.column("score").to_numpy(), []
+        for start, end in zip(starts.tolist(), np.append(starts[1:], table.num_rows).tolist()):
+            own = scores[start:end]
+            after, leaves = follow(own).tolist(), own.tolist()
+            for i in range(len(own) - 1, -1, -1):
+                if after[i] < len(own):
+                    leaves[i] = leaves[after[i]]
+            last = np.flatnonzero(np.append(np.diff(leaves) != 0, True))
+            rows.append((own[last].tolist(), np.array(leaves)[last].tolist()))
+        keys = table.select(["run_id", "block"]).take(pa.array(starts))
+        yield from keys.append_column("tops", pa.array([r[0] for r in rows], pa.list_(pa.float64()))).append_column("leaves", pa.array([r[1] for r in rows], pa.list_(pa.float64()))).to_batches()
+
+    def enter(table: pa.Table, starts: np.ndarray):
+        ends, entry = np.append(starts[1:], table.num_rows), np.zeros(table.num_rows)
+        tops, leaves = table.column("tops"), table.column("leaves")
+        for start, end in zip(starts.tolist(), ends.tolist()):
+            best = -np.inf
+            for row in range(start, end):
+                entry[row] = best
+                own = np.array(tops[row].as_py())
+                step = int(np.searchsorted(own, best + min_delta, side="right"))
+                if step < len(own):
+                    best = leaves[row][step].as_py()
+        yield from table.select(["run_id", "block"]).append_column("entry", pa.array(entry)).to_batches()
+
+    def name(table: pa.Table, starts: np.ndarray):
+        scores, entry, keep = table.column("score").to_numpy(), table.column("entry").to_numpy(), []
+        for start, end in zip(starts.tolist(), np.append(starts[1:], table.num_rows).tolist()):
+            own = scores[start:end]
+            after, at = follow(own), int(np.searchsorted(own, entry[start] + min_delta, side="right"))
+            while at < len(own):
+                keep.append(start + at)
+                at = int(after[at])
+        yield from table.select(["run_id", "epoch", "score"]).take(pa.array(keep, pa.int64())).to_batches()
+
+    functions = map_sorted_groups(records, ["run_id", "block"], ["epoch"], f"run_id {kind}, block bigint, tops array<double>, leaves array<double>", steps)
+    entries = map_sorted_groups(functions, ["run_id"], ["block"], f"run_id {kind}, block bigint, entry double", enter)
+    entered = records.join(entries, ["run_id", "block"])
+    return map_sorted_groups(entered, ["run_id", "block"], ["epoch"], f"run_id {kind}, epoch int, score double", name)
 
 
 def early_stopping(history: DataFrame, patience: int = PATIENCE, min_delta: float = MIN_DELTA, min_epochs: int = MIN_EPOCHS) -> DataFrame:

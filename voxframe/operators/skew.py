@@ -8,9 +8,15 @@ per-piece summaries; the results equal the single-group ones.
 from __future__ import annotations
 
 from collections.abc import Sequence
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
+from ..session import cut_lineage
+
+# distinct values of one group or range that one task may order
+RANGE_VALUES = 1_000_000
+
 
 def attach(rows: DataFrame, per_key: DataFrame, keys: Sequence[str], spread: Sequence[str], how: str = "inner",
            salts: int = 16) -> DataFrame:
@@ -63,46 +69,52 @@ def running_before(rows: DataFrame, keys: Sequence[str], order: str, value: Colu
     )
 
 
-def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float],
-                    splits: int = 64, salts: int = 8) -> DataFrame:
+def exact_quantiles(rows: DataFrame, keys: Sequence[str], value: str, quantiles: dict[str, float], weight: str | None = None,
+                    splits: int = 64, most: int = RANGE_VALUES) -> DataFrame:
     """Exact linearly interpolated quantiles per group.
 
-    Equal values are counted first. Approximate split points cut each group
-    into value ranges, range counts tell which ranges hold the wanted ranks,
-    and only the values of those ranges are ordered. A NaN in the group makes
-    every quantile NaN; NULLs are ignored.
+    Equal values are counted first; ``weight`` names a column of counts. While a
+    group has more than ``most`` distinct values, approximate split points cut it
+    into ranges, the counts of the ranges tell which of them hold a wanted rank, and
+    only those go on, as groups of their own. What is left is ordered. A NaN in the
+    group makes every quantile NaN; NULLs are ignored.
     """
     keys = list(keys)
-    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(F.count("*").alias("_n"))
+    times = F.count("*") if weight is None else F.sum(weight)
+    counts = rows.where(F.col(value).isNotNull()).groupBy(*keys, F.col(value).cast("double").alias("_v")).agg(times.alias("_n"))
     # with no key columns, a constant column keeps the joins below equi-joins
     group = keys or ["_all"]
     if not keys:
         counts = counts.withColumn("_all", F.lit(0))
-    points = [i / splits for i in range(1, splits)]
-    shape = counts.groupBy(*group).agg(
-        F.sum("_n").alias("_total"),
-        F.max(F.isnan("_v")).alias("_nan"),
-        F.percentile_approx("_v", points, 1000).alias("_cuts"),
-    )
-    tagged = attach(counts, shape, group, ["_v"], salts=salts).withColumn(
-        "_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))
-    ).drop("_cuts")
-    per_range = tagged.groupBy(*group, "_range").agg(F.sum("_n").alias("_size"), F.max("_total").alias("_total"))
-    lower = W.partitionBy(*group).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
-    per_range = per_range.withColumn("_before", F.coalesce(F.sum("_size").over(lower), F.lit(0)))
+    counts = cut_lineage(counts)
+    totals = cut_lineage(counts.groupBy(*group).agg(F.sum("_n").alias("_total"), F.max(F.isnan("_v")).alias("_nan"), F.count("*").alias("_size")))
     ranks = {}
     for name, q in quantiles.items():
         position = F.lit(float(q)) * (F.col("_total") - 1)
         ranks[name] = (position, F.floor(position), F.ceil(position))
-    wanted = F.lit(False)
-    for _, low, high in ranks.values():
-        for rank in (low, high):
-            wanted = wanted | ((F.col("_before") <= rank) & (rank < F.col("_before") + F.col("_size")))
-    needed = per_range.where(wanted).select(*group, "_range", "_before")
-    inside = W.partitionBy(*group, "_range").orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
-    placed = tagged.join(needed, [*group, "_range"]).withColumn(
-        "_start", F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
-    )
+
+    def wanted(before: Column, size: Column) -> Column:
+        return reduce(lambda a, b: a | b, [(before <= r) & (r < before + size) for _, *pair in ranks.values() for r in pair])
+
+    part = counts.withColumns({"_slot": F.lit(0).cast("bigint"), "_before": F.lit(0).cast("bigint")})
+    largest = totals.agg(F.max("_size")).first()[0] or 0
+    slot = [*group, "_slot"]
+    while largest > most:
+        points = [i / splits for i in range(1, splits)]
+        cuts = part.groupBy(*slot).agg(F.percentile_approx("_v", points, 1000).alias("_cuts"))
+        tagged = attach(part, cuts, slot, ["_v"]).withColumn("_range", F.size(F.filter("_cuts", lambda c: c < F.col("_v")))).drop("_cuts")
+        sizes = tagged.groupBy(*slot, "_range", "_before").agg(F.sum("_n").alias("_sum"), F.count("*").alias("_values"))
+        lower = W.partitionBy(*slot).orderBy("_range").rowsBetween(W.unboundedPreceding, -1)
+        placed = sizes.withColumn("_start", F.col("_before") + F.coalesce(F.sum("_sum").over(lower), F.lit(0))).join(totals.drop("_nan", "_size"), group)
+        needed = cut_lineage(placed.where(wanted(F.col("_start"), F.col("_sum"))).select(*slot, "_range", "_start", "_values"))
+        kept = attach(tagged.drop("_before"), needed.drop("_values"), [*slot, "_range"], ["_v"])
+        part = cut_lineage(kept.select(*group, "_v", "_n", (F.col("_slot") * splits + F.col("_range")).alias("_slot"), F.col("_start").alias("_before")))
+        before, largest = largest, needed.agg(F.max("_values")).first()[0] or 0
+        if largest == before:  # the split points could not part it
+            break
+    inside = W.partitionBy(*slot).orderBy("_v").rowsBetween(W.unboundedPreceding, -1)
+    start = F.col("_before") + F.coalesce(F.sum("_n").over(inside), F.lit(0))
+    placed = attach(part.withColumn("_start", start), totals.drop("_size"), group, ["_v"])
 
     def at(rank: Column) -> Column:
         return F.max(F.when((F.col("_start") <= rank) & (rank < F.col("_start") + F.col("_n")), F.col("_v")))
