@@ -2,7 +2,7 @@
 
 from importlib import import_module
 
-AREAS = ("metrics", "topology", "preparing", "splitting", "auditing", "runs", "dense", "storage", "documents")
+AREAS = ("metrics", "topology", "preparing", "splitting", "auditing", "audits", "runs", "dense", "storage", "documents")
 
 
 def load_catalog():

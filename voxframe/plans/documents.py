@@ -4,14 +4,14 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
-from ..operators import audit, evaluate, overlap, training
+from ..operators import audit, evaluate, overlap, run_report, sweep, training
 from ..session import cut_lineage, scratch_path
 from ..sources import manifest, sinks, tables
 from . import fixtures as fx
 from .auditing import volumes
 from .catalog import query, with_ctes
 from .dense import EPOCH, SEED, _STD
-from .metrics import CATS, categories, mask
+from .metrics import _CANDIDATE, _SWEEP, CATS, categories, mask
 from .topology import _PP
 
 _LINE = "'o' || l_orderkey || '_' || l_linenumber"
@@ -159,3 +159,77 @@ def _(spark, sf):
     metrics, _ = evaluate.evaluate(cut_lineage(mask(spark, sf)), fx.voxel_cases(spark, sf))
     timed = evaluate.with_inference_time(metrics, overlap.inference_time(events.join(sizes, "batch")))
     return evaluate.export_frame(timed, categories(spark, sf))
+
+
+_COLS = ("dice_3d", "iou_3d", "sensitivity_3d", "precision_3d", "hd95_3d", "asd_3d")
+_SWEPT = "sw as (" + _CANDIDATE + ")"
+
+
+def _long(section, name, pairs, source):
+    """Leaves from named expressions over a source."""
+    return " union all ".join(f"select '{section}' as section, {name} as name, '{leaf}' as leaf, cast({value} as double) as value from {source}" for leaf, value in pairs)
+
+
+_POOLED = [(c, f"sum({c})") for c in ("tp", "fp", "fn", "tn")] + [("dice_3d", "2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn))"), ("iou_3d", "sum(tp) / (sum(tp) + sum(fp) + sum(fn))"), ("sensitivity_3d", "sum(tp) / (sum(tp) + sum(fn))"),
+           ("precision_3d", "sum(tp) / (sum(tp) + sum(fp))"), ("specificity_3d", "sum(tn) / (sum(tn) + sum(fp))")]
+_FILTERED = [("dice_3d", "2 * sum(tp) / (2 * sum(tp) + sum(fp) + sum(fn))"), ("iou_3d", "sum(tp) / (sum(tp) + sum(fp) + sum(fn))"), ("sensitivity", "sum(tp) / (sum(tp) + sum(fn))"), ("precision", "sum(tp) / (sum(tp) + sum(fp))"), ("specificity", "sum(tn) / (sum(tn) + sum(fp))")]
+_EVERY = [*"tp fp fn tn dice_3d iou_3d sensitivity_3d precision_3d specificity_3d hd95_3d asd_3d fp_components".split(), "is_failure", "gt_empty", "pred_empty"]
+_PPCOLS = [f"pp_{c}" for c in "dice_3d iou_3d sensitivity_3d precision_3d specificity_3d hd95_3d asd_3d fp_components is_failure components_removed".split()]
+_REPORT = " union all ".join([
+    _long("run", "'all'", [("n_events", "count(*)"), ("n_runs", "count(distinct user_id)")], "events"),
+    "select 'run', 'all', 'optimal_threshold', cast(arg_max(candidate, mean_dice) as double) / 1000 from (select * from sw order by mean_dice desc, candidate limit 1)",
+    "select 'threshold_sweep', printf('%.3f', candidate / 1000.0::double), 'mean_dice', mean_dice from sw",
+    _long("test_metrics_summary", "'all'", [("mean_dice_3d", "avg(dice_3d)"), ("median_dice_3d", "median(dice_3d)"), ("mean_iou_3d", "avg(iou_3d)"), ("mean_hd95_mm", "avg(hd95_3d)"), ("mean_asd_mm", "avg(asd_3d)"), ("mean_sensitivity", "avg(sensitivity_3d)"),
+        ("mean_precision", "avg(precision_3d)"), ("mean_specificity", "avg(specificity_3d)"), ("mean_fp_components", "avg(fp_components)"), ("failure_count", "count(*) filter (is_failure)"), ("failure_rate_percent", "count(*) filter (is_failure) * 100.0::double / count(*)")], "bm"),
+    _long("macro_average", "'all'", [(c, f"avg({c})") for c in evaluate.METRIC_COLUMNS], "bm"),
+    _long("micro_average", "'all'", _POOLED, "bm"),
+    *[_long("stratified_report", "c", [(f"{n}_{m}", f"{f}") for n, f in (("mean", f"avg({m})"), ("median", f"median({m})"), ("std", f"stddev_pop({m})"))], "bm join (values ('small'), ('medium'), ('large')) k(c) on c = tumor_category group by c") for m in _COLS],
+    "select 'stratified_report', c, 'n_patients', count(case_id) from (values ('small'), ('medium'), ('large')) k(c) left join bm on c = tumor_category group by c",
+    "select 'stratified_report', c, 'failure_rate_pct', avg(case when is_failure then 100.0::double else 0.0::double end) from bm join (values ('small'), ('medium'), ('large')) k(c) on c = tumor_category group by c",
+    *[f"select 'per_patient_test_metrics', case_id::varchar, '{c}', cast({c} as double) from bm" for c in (*_EVERY, *_PPCOLS)],
+    *[f"select 'per_patient_test_metrics', case_id::varchar, 'pp_{c}', cast({c} as double) from conf4b" for c in ("tp", "fp", "fn", "tn")],
+    _long("postprocessed", "'all'", [("min_fraction", "max(0.1)"), ("mean_components_removed", "avg(pp_components_removed)"), ("failure_count", "count(*) filter (pp_is_failure)"), ("failure_rate_percent", "count(*) filter (pp_is_failure) * 100.0::double / count(*)")], "bm"),
+    _long("postprocessed", "'macro'", [(k, f"avg({c})") for k, c in run_report.FILTERED_MACRO.items()], "bm"),
+    _long("postprocessed", "'micro'", _FILTERED, "conf4b"),
+])
+
+
+@query("snk03_run_report", with_ctes(*_PP, _SWEEP, _SWEPT, CATS, "bm as (select f.*, pp.* exclude (case_id), coalesce(tumor_category, 'unknown') as tumor_category from full_met f join pp on pp.case_id = f.case_id left join cats on cats.case_id = f.case_id)",
+    body=f"select * from ({_REPORT}) where value is not null"))
+def _(spark, sf):
+    """All sections, written as JSON lines and read back."""
+    metrics, _ = evaluate.evaluate(cut_lineage(mask(spark, sf)), fx.voxel_cases(spark, sf))
+    named = evaluate.with_category(metrics, categories(spark, sf))
+    run = fx.table(spark, sf, "events").agg(F.count("*").alias("n_events"), F.countDistinct("user_id").alias("n_runs"))
+    leaves = run_report.run_report(run, sweep.threshold_sweep(fx.scored_voxels(spark, sf)), named)
+    path = scratch_path(spark, "run-report")
+    sinks.write_documents(sinks.report_lines(leaves), path)
+    text = F.when(F.col("section") == "threshold_sweep", F.format_string("%.3f", F.col("name").cast("double"))).otherwise(F.col("name"))
+    return tables.read_report(spark, path).withColumn("name", text)
+
+
+_RUNS = """rs as (select l_linenumber as run_id, case when l_linestatus = 'F' then 42 else 43 end as seed, l_suppkey as case_id, avg(l_discount) * 10 as dice from lineitem group by 1, 2, 3),
+ per as (select run_id, seed, count(*) as n_cases, avg(dice) as mean_dice, min(dice) as worst_dice from rs group by 1, 2)"""
+
+
+@query("src08_run_overview", with_ctes(_RUNS, body="""select 'run' || run_id as run_id, seed as run_seed, 'unet' || (run_id % 3) as model_type, 0.001::double * run_id as lr, cast(run_id * 2 + 1 as int) as n_adjacent,
+ case when run_id <> seed - 40 then mean_dice end as reported_dice, n_cases, mean_dice, worst_dice from per"""))
+def _(spark, sf):
+    """Run folders with configuration, report and scores per case, found and joined. One run of each seed has no report."""
+    scores = fx.run_scores(spark, sf).select("run_id", "seed", "case_id", "dice")
+    root = scratch_path(spark, "runs")
+    folder = F.concat(F.lit("run"), F.col("run_id").cast("string"))
+    runs = [(r["run_id"], r["seed"]) for r in scores.select("run_id", "seed").distinct().orderBy("run_id", "seed").collect()]  # 14 runs
+    scores = cut_lineage(scores.withColumn("exp", folder))
+    for run, seed in runs:
+        own = scores.where((F.col("run_id") == run) & (F.col("seed") == seed))
+        path = f"{root}/experiments/run{run}/seed_{seed}"
+        own.select(F.col("case_id").cast("string").alias("case_id"), F.col("dice").alias("dice_3d")).coalesce(1).write.csv(f"{path}/test_results_per_patient.csv", header=True)
+        config = own.select("run_id", "seed").distinct().select(F.to_json(F.struct(
+            F.concat(F.lit("run"), F.col("run_id").cast("string")).alias("exp_name"), "seed", F.concat(F.lit("unet"), (F.col("run_id") % 3).cast("string")).alias("model_type"), (F.col("run_id") * 2 + 1).alias("n_adjacent"),
+            (F.lit(0.001) * F.col("run_id")).alias("lr"))).alias("value"))
+        sinks.write_documents(config.coalesce(1), f"{path}/config.json")
+        if run != seed - 40:
+            mean = own.agg(F.avg("dice").alias("value")).select(F.lit("test_metrics_summary").alias("section"), F.lit("all").alias("name"), F.lit("mean_dice_3d").alias("leaf"), "value")
+            sinks.write_documents(sinks.report_lines(mean), f"{path}/benchmark_report.json")
+    return tables.run_overview(spark, root).select("run_id", "run_seed", "model_type", "lr", "n_adjacent", "reported_dice", "n_cases", "mean_dice", "worst_dice")

@@ -47,6 +47,12 @@ def sweep_json(sweep: DataFrame) -> DataFrame:
     return doc.select(F.to_json(F.struct("best_threshold", "sweep_results")).alias("value"))
 
 
+def report_lines(leaves: DataFrame) -> DataFrame:
+    """One JSON line per section entry of ``run_report.run_report``; an entry has a bounded number of leaves."""
+    entries = leaves.groupBy("section", "name").agg(F.map_from_entries(F.array_sort(F.collect_list(F.struct("leaf", "value")))).alias("values"))
+    return entries.select(F.to_json(F.struct("section", "name", "values")).alias("value"))
+
+
 def write_documents(documents: DataFrame, path: str) -> None:
     documents.write.mode("overwrite").text(path)
 
@@ -61,6 +67,38 @@ REPORT_LINES = (
 )
 
 
+# Lines of the full audit text, filled from ``audit_table.audit_totals``.
+AUDIT_LINES = (
+    ("# Audit of the volumes", ()),
+    ("", ()),
+    ("## Files and geometry", ()),
+    ("- %d cases, %d images and %d labels found", ("n_cases", "n_images", "n_labels")),
+    ("- equal shapes: %d; equal affines: %d (largest difference %.6e)", ("n_shape", "n_affine", "max_affine_diff")),
+    ("- axes of images: %s; of labels: %s; equal in %d cases", ("img_codes", "lbl_codes", "n_orientation")),
+    ("- spacing x: %.2f to %.2f mm, mean %.2f", ("sx_min", "sx_max", "sx_mean")),
+    ("- spacing y: %.2f to %.2f mm, mean %.2f", ("sy_min", "sy_max", "sy_mean")),
+    ("- spacing z: %.2f to %.2f mm, mean %.2f, %d different", ("sz_min", "sz_max", "sz_mean", "n_sz")),
+    ("", ()),
+    ("## Values", ()),
+    ("- labels with 0 and 1 only: %d", ("n_binary",)),
+    ("- images with NaN: %d, with infinite values: %d", ("n_img_has_nan", "n_img_has_inf")),
+    ("- labels with NaN: %d, with infinite values: %d", ("n_lbl_has_nan", "n_lbl_has_inf")),
+    ("- empty images: %d, empty labels: %d", ("n_is_empty_image", "n_is_empty_mask")),
+    ("- copies among images: %d, among labels: %d", ("n_img_copies", "n_lbl_copies")),
+    ("", ()),
+    ("## Labelled regions", ()),
+    ("- volume: %.2f to %.2f mm3, mean %.2f", ("volume_min", "volume_max", "volume_mean")),
+    ("- slices: %d, of them labelled: %d (%.2f %%)", ("n_slices", "n_positive", "positive_pct")),
+    ("- components a case: %d to %d, mean %.2f", ("parts_min", "parts_max", "parts_mean")),
+    ("- share of the largest component: mean %.2f %%, least %.2f %%", ("largest_mean", "largest_min")),
+    ("", ()),
+    ("## What resizing costs", ()),
+    ("- labelled slices lost: %d, in %d cases", ("n_lost", "n_losing")),
+    ("- change of volume: mean %.2f %%", ("change_mean",)),
+    ("- Dice after going down and back: mean %.4f, least %.4f", ("ceiling_mean", "ceiling_min")),
+)
+
+
 def markdown_report(summary: DataFrame, lines=REPORT_LINES) -> DataFrame:
     """The report text, one value, from the aggregated summary row."""
     parts = [F.format_string(text, *[F.col(c) for c in cols]) if cols else F.lit(text) for text, cols in lines]

@@ -84,6 +84,27 @@ def discover_runs(spark: SparkSession, root: str, config_schema: str = "exp_name
     return rows.select(*keys, named, F.from_json("value", "map<string,string>").alias("config")).select("run_id", "run_seed", "named.*", "config")
 
 
+def read_report(spark: SparkSession, path: str) -> DataFrame:
+    """The leaves of a report written as lines."""
+    lines = spark.read.schema("section string, name string, values map<string,double>").json(path)
+    return lines.select("section", "name", F.explode("values").alias("leaf", "value"))
+
+
+def run_overview(spark: SparkSession, root: str) -> DataFrame:
+    """Every run with its configuration, the Dice its report gives, and its per-case scores in short.
+
+    A run without a report or without scores has NULL there.
+    """
+    runs = discover_runs(spark, root)
+    reports = read_report(spark, f"{root}/experiments/*/seed_*/benchmark_report.json").select(
+        F.regexp_extract(F.input_file_name(), RUN_PATH, 1).alias("run_id"), F.regexp_extract(F.input_file_name(), RUN_PATH, 2).cast("int").alias("run_seed"), "section", "leaf", "value")
+    told = reports.where("section = 'test_metrics_summary' and leaf = 'mean_dice_3d'").select("run_id", "run_seed", F.col("value").alias("reported_dice"))
+    scores = read_run_table(spark, root, "test_results_per_patient.csv", "case_id string, dice_3d double")
+    short = scores.groupBy("run_id", F.col("seed").alias("run_seed")).agg(F.count("*").alias("n_cases"), F.avg("dice_3d").alias("mean_dice"), F.min("dice_3d").alias("worst_dice"))
+    keys = ["run_id", "run_seed"]
+    return runs.join(told, keys, "left").join(short, keys, "left")
+
+
 def read_run_table(spark: SparkSession, root: str, name: str, schema: str) -> DataFrame:
     """One CSV of every run, keyed by the folder names."""
     rows = spark.read.schema(schema).csv(f"{root}/experiments/*/seed_*/{name}", header=True, enforceSchema=False)
