@@ -178,3 +178,27 @@ def test_half_even_and_windows(spark):
     df = spark.createDataFrame([(2.5, -2000.0), (3.5, 1000.0)], "a double, h double")
     got = df.select(scalars.round_half_even(F.col("a")).alias("r"), scalars.window_value(F.col("h")).alias("w")).collect()
     assert [(r.r, r.w) for r in got] == [(2.0, 0.0), (4.0, 1.0)]
+
+
+@pytest.mark.parametrize("suffix", [".nii", ".nii.gz"])
+def test_slice_range_reads_the_slices_only(spark, tmp_path, suffix):
+    rng = np.random.default_rng(0)
+    volume = rng.integers(-900, 900, (7, 5, 40)).astype(np.int16)
+    write_nifti(tmp_path / f"one{suffix}", volume, np.diag([1.0, 1.0, 2.0, 1.0]))
+    (tmp_path / "broken.nii").write_bytes(b"not a volume")
+    for first, last, want in ((None, None, range(40)), (17, 17, [17]), (30, 99, range(30, 40)), (38, None, [38, 39]), (50, 60, [])):
+        rows = volumes.read_slice_range(spark, str(tmp_path), first, last, block=8).collect()
+        good = {r.slice_idx: np.array(r.pixels).reshape(7, 5) for r in rows if r.error is None}
+        assert sorted(good) == list(want) and all((good[z] == volume[:, :, z]).all() for z in good)
+        assert [r.case_id for r in rows if r.error] == ["broken"]
+
+
+def test_written_volumes_come_back(spark, tmp_path):
+    rng = np.random.default_rng(1)
+    arrays = {"a": rng.random((4, 3, 5)).astype(np.float32), "b": rng.random((2, 6, 1)).astype(np.float32)}
+    rows = [(c, z, v.shape[0], v.shape[1], 1.0, 2.0, 3.0, v[:, :, z].ravel().tolist()) for c, v in arrays.items() for z in range(v.shape[2])]
+    df = spark.createDataFrame(rows, "case_id string, slice_idx int, height int, width int, sx double, sy double, sz double, pixels array<float>").repartition(3)
+    volumes.write_volumes(df, str(tmp_path / "out"))
+    for reader in (volumes.read_volumes, volumes.read_slice_range):
+        got = {(r.case_id, r.slice_idx): r for r in reader(spark, str(tmp_path / "out")).collect()}
+        assert len(got) == 6 and all(got[c, z].pixels == v[:, :, z].ravel().tolist() and got[c, z].sz == 3.0 for c, v in arrays.items() for z in range(v.shape[2]))

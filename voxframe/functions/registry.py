@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from pyspark.sql import Column, functions as F
+
+# Names of modes and losses.
 SAMPLING_MODES = ("all", "balanced", "hard_negatives")
 AUGMENT_MODES = ("none", "standard", "anatomic")
 CROP_MODES = ("none", "tumor")
@@ -16,7 +19,7 @@ def one_of(kind: str, name: str, known) -> str:
 
 def check_neighbours(n: int) -> int:
     if n < 1 or n % 2 != 1:
-        raise ValueError(f"neighbour count must be odd, got {n}")
+        raise ValueError(f"a slice needs as many neighbours on either side: {n} channels cannot be")
     return n
 
 
@@ -47,3 +50,16 @@ def validate_config(sampling="all", augment="none", crop="none", neighbours=1, c
     check_neighbours(neighbours)
     if crop == "tumor":
         check_crop(crop_size, height, width)
+
+
+def config_problem(sampling: Column, augment: Column, crop: Column, neighbours: Column, crop_size: Column, height: Column, width: Column) -> Column:
+    """What :func:`validate_config` would refuse first in each row of a table of configurations; NULL where nothing."""
+    def known(kind: str, name: Column, names) -> Column:
+        bad = ~F.coalesce(name.isin(*names), F.lit(False))
+        return F.when(bad, F.concat(F.lit(f"unknown {kind}: "), F.coalesce(name, F.lit("nothing"))))
+
+    odd = F.when(~((neighbours >= 1) & (F.pmod(neighbours, F.lit(2)) == 1)), F.concat(F.lit("neighbour count must be odd, got "), neighbours.cast("string")))
+    fits = F.when(crop_size > F.least(height, width), F.concat(F.lit("too large a crop: "), crop_size.cast("string")))
+    step = F.when((F.pmod(crop_size, F.lit(16)) != 0) | (crop_size < 32), F.concat(F.lit("no crop size: "), crop_size.cast("string")))
+    return F.coalesce(known("sampling mode", sampling, SAMPLING_MODES), known("augmentation", augment, AUGMENT_MODES), known("crop mode", crop, CROP_MODES),
+                      odd, F.when(crop == "tumor", F.coalesce(fits, step)))

@@ -9,6 +9,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
+from ..functions.registry import one_of
 from .batches import map_sorted_groups
 
 # Width of the blending weights and their floor.
@@ -111,4 +112,17 @@ def linear_model(weight: float, bias: float):
     return load
 
 
-MODELS = {"linear": linear_model}
+def quadratic_model(weight: float, bias: float):
+    """A weight on every squared pixel and a bias."""
+    def load():
+        return lambda pixels: pixels * pixels * weight + bias
+
+    return load
+
+
+MODELS = {"linear": linear_model, "quadratic": quadratic_model}
+
+
+def make_model(name: str, *parameters: float):
+    """The loader of a model by its name; an unknown name raises an error that lists the known ones."""
+    return MODELS[one_of("model", name, MODELS)](*parameters)

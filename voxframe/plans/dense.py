@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from ..functions import orientation as ori
-from ..functions import scalars
+from ..functions import registry, scalars
 from ..operators import augment, geometry, inference, masks, reconstruct, resample
 from ..operators.skew import attach
 from . import fixtures as fx
@@ -323,3 +323,26 @@ def _(spark, sf):
     scored = inference.score(tiles, inference.MODELS["linear"](4.0, -0.5))
     blended = inference.blend(scored, 8, 8, ROI)
     return blended.select("case_id", "slice_idx", F.posexplode("prob").alias("p", "v"))
+
+
+@query("u04_models", with_ctes(fx.F4, body="select case_id, slice_idx, 'linear' as model, p, 1 / (1 + exp(-(v * 4 - 0.5::double))) as v from px union all select case_id, slice_idx, 'quadratic', p, 1 / (1 + exp(-(v * v * 4 - 0.5::double))) from px"))
+def _(spark, sf):
+    """Every registered model, by name."""
+    rows = [inference.score(volumes(spark, sf), inference.make_model(name, 4.0, -0.5)).select("case_id", "slice_idx", F.lit(name).alias("model"), F.posexplode("prob").alias("p", "v")) for name in sorted(inference.MODELS)]
+    return rows[0].unionByName(rows[1])
+
+
+_CONFIGS = """cf as (select l_orderkey, l_linenumber, case l_returnflag when 'R' then 'balanced' when 'A' then 'all' else 'some' end as sampling, case when l_linestatus = 'F' then 'standard' else 'anatomic' end as augment,
+  case l_partkey % 5 when 0 then 'tumor' when 1 then null else 'none' end as crop, cast(l_linenumber as int) as neighbours, cast(l_quantity as int) * 8 as crop_size from lineitem)"""
+
+
+@query("p10_config_problems", with_ctes(_CONFIGS, body="""select l_orderkey, l_linenumber, case when sampling = 'some' then 'unknown sampling mode: some' when crop is null then 'unknown crop mode: nothing'
+ when neighbours % 2 = 0 then 'neighbour count must be odd, got ' || neighbours when crop = 'tumor' and crop_size > 192 then 'too large a crop: ' || crop_size
+ when crop = 'tumor' and (crop_size % 16 <> 0 or crop_size < 32) then 'no crop size: ' || crop_size end as problem from cf"""))
+def _(spark, sf):
+    t = fx.table(spark, sf, "lineitem")
+    sampling = F.when(F.col("l_returnflag") == "R", "balanced").when(F.col("l_returnflag") == "A", "all").otherwise("some")
+    crop = F.when(F.col("l_partkey") % 5 == 0, "tumor").when(F.col("l_partkey") % 5 != 1, "none")
+    augment_mode = F.when(F.col("l_linestatus") == "F", "standard").otherwise("anatomic")
+    size = F.col("l_quantity").cast("int") * 8
+    return t.select("l_orderkey", "l_linenumber", registry.config_problem(sampling, augment_mode, crop, F.col("l_linenumber").cast("int"), size, F.lit(192), F.lit(192)).alias("problem"))

@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from ..operators import sweep
 from ..session import scratch_path
-from ..sources import manifest, sinks, tables
+from ..sources import manifest, sinks, tables, volumes as volume_files
 from ..streaming import running
 from . import fixtures as fx
 from .auditing import volumes
@@ -103,3 +103,24 @@ def _(spark, sf):
 @query("st03_streaming_collapse", with_ctes(fx.F5, HIST, COL, body="select * from col"))
 def _(spark, sf):
     return run_events(spark, sf).where("reason = 'collapsed'").select("run_id", F.col("epoch").alias("collapse_epoch"))
+
+
+_FLOATS = "select cast(case_id as varchar) as case_id, slice_idx, 8 as height, 8 as width, n as n_slices, sum(v) as total, sum(v * p) as weighted from px join (select case_id as k, cast(count(*) as int) as n from f4 group by 1) d on k = px.case_id"
+
+
+@query("src03_slice_range", with_ctes(fx.F4, body=f"{_FLOATS} where slice_idx between 2 and 4 group by all"))
+def _(spark, sf):
+    """Volume files written from F4; three slices of each are read by their bytes."""
+    path = scratch_path(spark, "volume-files")
+    volume_files.write_volumes(volumes(spark, sf).withColumns({f"s{a}": F.lit(1.0) for a in "xyz"}), path)
+    rows = volume_files.read_slice_range(spark, path, 2, 4, block=2).withColumn("pixels", F.col("pixels").cast("array<double>"))
+    weighted = F.aggregate(F.transform("pixels", lambda v, i: v * i), F.lit(0.0), lambda a, v: a + v)
+    return rows.where("error is null").select("case_id", "slice_idx", "height", "width", "n_slices", F.aggregate("pixels", F.lit(0.0), lambda a, v: a + v).alias("total"), weighted.alias("weighted"))
+
+
+@query("src03_headers", with_ctes(fx.F4, body="select cast(case_id as varchar) as case_id, 8 as height, 8 as width, count(*) as depth, 1.0::double as spacing_z from f4 group by 1"))
+def _(spark, sf):
+    path = scratch_path(spark, "volume-headers")
+    volume_files.write_volumes(volumes(spark, sf).withColumns({f"s{a}": F.lit(1.0) for a in "xyz"}), path)
+    h = volume_files.read_headers(spark, path)
+    return h.where("error is null").select("case_id", F.col("shape")[0].alias("height"), F.col("shape")[1].alias("width"), F.col("shape")[2].cast("bigint").alias("depth"), F.col("spacing")[2].alias("spacing_z"))

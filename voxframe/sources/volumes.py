@@ -13,6 +13,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
@@ -121,6 +122,123 @@ def read_headers(spark: SparkSession, pattern: str) -> DataFrame:
     return list_volumes(spark, pattern).select("case_id", "path").mapInPandas(decode, HEADER)
 
 
+LAYOUT = "case_id string, path string, packed boolean, shape array<int>, spacing array<double>, dtype string, offset bigint, slope double, inter double, error string"
+
+
+def _layouts(spark: SparkSession, pattern: str) -> DataFrame:
+    """Where the values of each file lie, from a block of it."""
+
+    def decode(batches):
+        for pdf in batches:
+            rows = []
+            for case, path in zip(pdf["case_id"], pdf["path"]):
+                try:
+                    with _open(path) as file:
+                        packed = file.read_at(2, 0) == b"\x1f\x8b"
+                    h = parse_header(_header_bytes(path))
+                    rows.append((case, path, packed, h["shape"], h["spacing"], h["dtype"], h["offset"], h["slope"], h["inter"], None))
+                except Exception as error:
+                    rows.append((case, path, None, None, None, None, None, None, None, str(error)))
+            yield pd.DataFrame(rows, columns=["case_id", "path", "packed", "shape", "spacing", "dtype", "offset", "slope", "inter", "error"])
+
+    return list_volumes(spark, pattern).select("case_id", "path").mapInPandas(decode, LAYOUT)
+
+
+def _open(path: str):
+    files, name = fs.FileSystem.from_uri(path if path.startswith("/") else quote(path, safe=":/@"))
+    return files.open_input_file(name)
+
+
+def _skip_to(file, start: int, size: int) -> bytes:
+    """``size`` unpacked bytes from ``start`` on of a compressed file; what lies before is unpacked and let go."""
+    stream, at, out = zlib.decompressobj(wbits=31), 0, b""
+    while len(out) < size and (block := file.read(1 << 20)):
+        while block and len(out) < size:
+            part = stream.decompress(block)
+            low = max(0, start - at)
+            out += part[low:]
+            at += len(part)
+            block = stream.unused_data
+            if stream.eof:
+                stream = zlib.decompressobj(wbits=31)
+    return out[:size]
+
+
+def read_slice_range(spark: SparkSession, pattern: str, first: int | None = None, last: int | None = None, block: int = 16) -> DataFrame:
+    """Slice rows ``first`` to ``last`` of every volume, in file orientation, from the bytes of these slices only.
+
+    The headers decide what there is to read; each block of ``block`` slices of a plain file is one piece of work
+    and one ranged read. A compressed file is one piece, unpacked up to its last wanted slice. A file that cannot be
+    read gives an error row, one that has no slice in the range none.
+    """
+    low = F.lit(max(0, first or 0))
+    top = F.element_at("shape", 3) - 1
+    high = top if last is None else F.least(top, F.lit(last))
+    step = F.when(F.col("packed"), F.greatest(high - low + 1, F.lit(1))).otherwise(F.lit(block))
+    known = _layouts(spark, pattern)
+    good = known.where("error is null").withColumns({"low": low.cast("int"), "high": high.cast("int"), "step": step.cast("int")}).where("low <= high")
+    work = good.select("*", F.explode(F.sequence(F.col("low"), F.col("high"), F.col("step"))).alias("start")).withColumn("end", F.least(F.col("start") + F.col("step") - 1, F.col("high")))
+    parts = int(spark.conf.get("spark.sql.shuffle.partitions"))
+
+    def read(batches):
+        for pdf in batches:
+            for w in pdf.to_dict("records"):
+                height, width, depth = (int(n) for n in w["shape"])
+                kind = np.dtype(w["dtype"])
+                plane = height * width * kind.itemsize
+                try:
+                    size, at = plane * (w["end"] - w["start"] + 1), w["offset"] + plane * w["start"]
+                    with _open(w["path"]) as file:
+                        raw = _skip_to(file, at, size) if w["packed"] else file.read_at(size, at)
+                    values = np.frombuffer(raw, kind, size // kind.itemsize).reshape(-1, width, height)
+                    if w["slope"] not in (0.0, 1.0) or w["inter"]:
+                        values = values * np.float32(w["slope"] or 1.0) + np.float32(w["inter"])
+                    pixels = [np.ascontiguousarray(v.T, dtype=np.float32).ravel() for v in values]
+                    index, error = list(range(w["start"], w["end"] + 1)), [None] * len(pixels)
+                except Exception as problem:
+                    pixels, index, error = [[]], [w["start"]], [str(problem)]
+                n = len(index)
+                yield pd.DataFrame({"case_id": [w["case_id"]] * n, "slice_idx": index, "height": [height] * n, "width": [width] * n, "n_slices": [depth] * n,
+                                    "sx": [w["spacing"][0]] * n, "sy": [w["spacing"][1]] * n, "sz": [w["spacing"][2]] * n, "pixels": pixels, "error": error})
+
+    rows = work.repartition(parts, "path", "start").mapInPandas(read, SLICE)
+    zero, none = F.lit(0), F.lit(0.0)
+    failed = known.where("error is not null").select(
+        "case_id", zero.alias("slice_idx"), zero.alias("height"), zero.alias("width"), zero.alias("n_slices"), none.alias("sx"), none.alias("sy"), none.alias("sz"), F.array().cast("array<float>").alias("pixels"), "error")
+    return rows.unionByName(failed)
+
+
+def write_volumes(slices: DataFrame, path: str) -> None:
+    """One plain NIfTI-1 file of 32-bit floats per case, written by tasks, with the spacings on the diagonal of its affine.
+
+    ``slices``: ``case_id, slice_idx, height, width, sx, sy, sz, pixels``, whole volumes. A volume is put together in
+    one task; its size is that of one file.
+    """
+    def write(table: pa.Table) -> pa.Table:
+        rows = table.sort_by("slice_idx")
+        height, width, depth = rows["height"][0].as_py(), rows["width"][0].as_py(), rows.num_rows
+        spacing = [rows[c][0].as_py() for c in ("sx", "sy", "sz")]
+        volume = np.stack([np.asarray(p.values, np.float32).reshape(height, width) for p in rows["pixels"]], axis=2)
+        head = bytearray(352)
+        struct.pack_into("<i", head, 0, HEADER_BYTES)
+        struct.pack_into("<8h", head, 40, 3, height, width, depth, 1, 1, 1, 1)
+        struct.pack_into("<2h", head, 70, 16, 32)
+        struct.pack_into("<8f", head, 76, 1.0, *spacing, 0.0, 0.0, 0.0, 0.0)
+        struct.pack_into("<3f", head, 108, 352.0, 1.0, 0.0)
+        struct.pack_into("<2h", head, 252, 0, 1)
+        struct.pack_into("<12f", head, 280, spacing[0], 0, 0, 0, 0, spacing[1], 0, 0, 0, 0, spacing[2], 0)
+        head[344:348] = b"n+1\0"
+        case = str(rows["case_id"][0].as_py())
+        files, folder = fs.FileSystem.from_uri(path if path.startswith("/") else quote(path, safe=":/@"))
+        files.create_dir(folder, recursive=True)
+        with files.open_output_stream(f"{folder}/{case}.nii") as out:
+            out.write(bytes(head) + volume.tobytes(order="F"))
+        return pa.table({"case_id": [case]})
+
+    written = slices.select("case_id", "slice_idx", "height", "width", "sx", "sy", "sz", F.col("pixels").cast("array<float>")).groupBy("case_id").applyInArrow(write, "case_id string")
+    written.write.format("noop").mode("overwrite").save()
+
+
 def _canonical(volume: np.ndarray, spacing: list, affine: list) -> tuple[np.ndarray, list]:
     turn = np.asarray(affine)[:3, :3]
     target = np.abs(turn).argmax(axis=0)
