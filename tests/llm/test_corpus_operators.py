@@ -252,6 +252,42 @@ def test_shards_follow_weights_and_confine_movement(spark):
         sharding.assign(docs, old, [sharding.Shard(0, 0, 0, 2.0)])
 
 
+def places(spark, shards, n=20_000):
+    ids = spark.range(n).selectExpr("cast(id as string) as k")
+    return {r.k: r.s for r in sharding.descend(ids, "k", shards, "s").collect()}
+
+
+def test_the_tree_decides(spark):
+    whole = sharding.tree(24)
+    other = [sharding.Shard(s.number, s.number % 3, s.number % 8) for s in whole]
+    a, b = places(spark, whole), places(spark, other)
+    assert sum(a[k] != b[k] for k in a) > 10_000
+    # only the children of the nodes passed are hashed
+    nodes = sharding.children(whole)
+    assert max(len(nodes[""]) + len(nodes[r]) + len(nodes[k]) for r, _ in nodes[""] for k, _ in nodes[r]) == 9
+    region = {s.number: s.region for s in whole}
+    heavier = [sharding.Shard(s.number, s.region, s.rack, 2.5 if s.number == 5 else 1.0) for s in whole]
+    c = places(spark, heavier)
+    moved = [k for k in a if a[k] != c[k]]
+    # nothing moves inside the other region, and racks that stay entered keep their shards but for the changed one
+    assert moved and not [k for k in moved if region[a[k]] == 1 and region[c[k]] == 1]
+    rack = {s.number: s.rack for s in whole}
+    assert not [k for k in moved if rack[a[k]] == rack[c[k]] and 5 not in (a[k], c[k])]
+
+
+def test_growth_keeps_the_law_everywhere(spark):
+    now = sharding.tree(14)
+    before = places(spark, now)
+    for region, rack in ((0, 1), (1, 3), (7, 70), (0, 99), (7, 70)):
+        now = sharding.grown_from(now, [*now, sharding.Shard(len(now), region, rack)])
+        after = places(spark, now)
+        moved = {k for k in before if before[k] != after[k]}
+        assert all(after[k] == len(now) - 1 for k in moved) and abs(len(moved) / 20_000 - 1 / len(now)) < 0.012
+        before = after
+    shares = Counter(before.values())
+    assert all(abs(shares[i] / 20_000 - 1 / len(now)) < 0.012 for i in range(len(now)))
+
+
 ITEM = "A train leaves Oldtown at 60 km per hour and Maria boards it after 25 minutes with 3 bags . How far has Maria gone when the 25 minutes are over"
 
 

@@ -1,14 +1,17 @@
 """Shards by a hierarchical weighted hash tree: region, rack, shard.
 
-A document descends the tree; at every level it enters the child with the least
-draw. The draw of a shard is ``-ln(u) / weight`` with ``u`` hashed from the key
-and the shard, an exponential of that rate. The draw of a rack or region is the
-least of its members' draws, which is again an exponential, of the summed
-weight: each level is a weighted hash draw. (Draws of inner nodes that are
-independent of their members would let a document that a grown rack attracts
-land on an old shard inside it.) A changed weight changes one draw, so
-documents move only into or out of the subtree it belongs to, and one more
-shard takes documents only into itself.
+A document descends the tree and at every level enters the child with the least
+draw ``-ln(u) / weight``, where ``u`` is hashed from the key and the child's place
+in the tree and the weight is the sum of what lies below. Draws of different nodes
+are independent, so only the children of the nodes it passes are hashed, and a
+changed weight moves documents only into or out of the subtree it belongs to.
+
+A shard added to a region that exists raises the weight of that region. The old
+weight keeps its draw; the increment is a candidate of its own beside the regions,
+leading straight to the new shard. So one more shard takes documents only into
+itself, wherever it is put, and takes its share. The ``generation`` of a shard
+says when it came; a region consists of those of its first generation, later ones
+are increments. A shard that opens a region is reached through it.
 
 NULL ids hash as the empty string, NULL texts have no bytes, repeated rows get
 the same shard and slots of their own; an empty table gives no rows.
@@ -17,7 +20,7 @@ the same shard and slots of their own; an empty table gives no rows.
 from __future__ import annotations
 
 from collections.abc import Sequence
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 
 from pyspark.sql import Column, DataFrame, Window as W, functions as F
 
@@ -32,6 +35,7 @@ class Shard:
     region: int
     rack: int
     weight: float = 1.0
+    generation: int = 0
 
 
 def tree(shards: int, racks_per_region: int = 3, shards_per_rack: int = 4) -> list[Shard]:
@@ -40,30 +44,51 @@ def tree(shards: int, racks_per_region: int = 3, shards_per_rack: int = 4) -> li
     return [Shard(i, i // per_region, i // shards_per_rack) for i in range(shards)]
 
 
-def _draw(key: Column, shard: Shard) -> Column:
-    digest = F.md5(F.concat(key, F.lit(f"/{shard.number}")).cast("binary"))
-    u = (F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("double") + 0.5) / float(2**HASH_BITS)
-    return -F.log(u) / F.lit(float(shard.weight))
+def grown_from(shards: Sequence[Shard], grown: Sequence[Shard]) -> list[Shard]:
+    """``grown`` with its new shards marked as later than all of ``shards``, which it must hold unchanged."""
+    old = {s.number: s for s in shards}
+    latest = max((s.generation for s in shards), default=-1)
+    if any(old.get(s.number, s) != s for s in grown) or not set(old) <= {s.number for s in grown}:
+        raise ValueError("a grown tree keeps the old shards with their places and weights")
+    return [s if s.number in old else replace(s, generation=latest + 1) for s in grown]
 
 
-def descend(key: Column, shards: Sequence[Shard]) -> Column:
-    """Region, then rack, then shard: at each level the child with the least draw.
+def children(shards: Sequence[Shard]) -> dict[str, list[tuple[str, float]]]:
+    """The tree by paths: what can be entered from each node, and its weight.
 
-    An entry starts with the draw it inherits from its best member, so the least
-    entry of a level is the child to enter and carries the way on.
+    ``""`` leads to regions ``/0`` and to increments ``+24``, a region to racks ``/0/2``, a rack to shards ``/0/2/9``.
     """
-
-    def level(entries: dict[int, list[Column]], name: str) -> list[Column]:
-        return [F.struct(F.array_min(F.array(*members)).alias("best"), F.lit(number).alias(name)) for number, members in entries.items()]
-
-    racks: dict[tuple[int, int], list[Column]] = {}
+    first: dict[int, int] = {}
     for s in shards:
-        racks.setdefault((s.region, s.rack), []).append(F.struct(_draw(key, s).alias("draw"), F.lit(s.number).alias("shard")))
-    regions: dict[int, list[Column]] = {}
-    for region in {r for r, _ in racks}:
-        regions[region] = level({rack: m for (r, rack), m in racks.items() if r == region}, "rack")
-    entered = F.array_min(F.array(*level(regions, "region")))
-    return entered["best"]["best"]["shard"].cast("int")
+        first[s.region] = min(first.get(s.region, s.generation), s.generation)
+    found: dict[str, dict[str, float]] = {}
+    for s in sorted(shards, key=lambda s: s.number):
+        if s.generation > first[s.region]:
+            found.setdefault("", {})[f"+{s.number}"] = s.weight
+            continue
+        path = ["", f"/{s.region}", f"/{s.region}/{s.rack}", f"/{s.region}/{s.rack}/{s.number}"]
+        for above, below in zip(path, path[1:]):
+            held = found.setdefault(above, {})
+            held[below] = held.get(below, 0.0) + s.weight
+    return {above: list(held.items()) for above, held in found.items()}
+
+
+def descend(rows: DataFrame, key: str, shards: Sequence[Shard], out: str) -> DataFrame:
+    """``rows`` with the shard of ``key`` as column ``out``: one node entered a level, and only its children hashed."""
+    nodes = F.create_map(*[x for above, held in children(shards).items() for x in (
+        F.lit(above), F.array(*[F.struct(F.lit(below).alias("node"), F.lit(float(weight)).alias("weight")) for below, weight in held]))])
+    path = f"{out}_path"
+    at = rows.withColumn(path, F.lit(""))
+    for _ in range(3):
+        def draw(child: Column) -> Column:
+            digest = F.md5(F.concat(F.col(key), child["node"]).cast("binary"))
+            u = (F.conv(F.substring(digest, 1, HASH_BITS // 4), 16, 10).cast("double") + 0.5) / float(2**HASH_BITS)
+            return F.struct((-F.log(u) / child["weight"]).alias("draw"), child["node"].alias("node"))
+
+        entered = F.array_min(F.transform(F.element_at(nodes, F.col(path)), draw))["node"]
+        # an increment is at its shard already
+        at = at.withColumn(path, F.when(F.startswith(F.col(path), F.lit("+")), F.col(path)).otherwise(entered))
+    return at.withColumn(out, F.regexp_extract(path, "([0-9]+)$", 1).cast("int")).drop(path)
 
 
 def assign(docs: DataFrame, shards: Sequence[Shard], grown: Sequence[Shard], doc_id: str = "doc_id", text: str = "text") -> DataFrame:
@@ -73,18 +98,15 @@ def assign(docs: DataFrame, shards: Sequence[Shard], grown: Sequence[Shard], doc
     pieces by a hash, pieces are numbered on their own and shifted by the sizes
     of the pieces before them, so no task holds a whole shard.
     """
-    weights = {s.number: s.weight for s in shards}
-    if any(s.number in weights and weights[s.number] != s.weight for s in grown):
-        raise ValueError("a grown tree keeps the weights of the old shards")
-    key = F.coalesce(F.col(doc_id).cast("string"), F.lit(""))
     # written once: two branches read it, and neither needs the texts again
-    rows = cut_lineage(docs.select(
+    rows = docs.select(
         F.col(doc_id).alias("doc_id"),
         (F.coalesce(F.octet_length(F.col(text)), F.lit(0)) + 8).cast("bigint").alias("size"),
         F.crc32(F.coalesce(F.col(text), F.lit("")).cast("binary")).alias("text_crc32"),
-        descend(key, shards).alias("shard"),
-        descend(key, grown).alias("grown_shard"),
-    ))
+        F.coalesce(F.col(doc_id).cast("string"), F.lit("")).alias("_key"),
+    )
+    placed = descend(descend(rows, "_key", shards, "shard"), "_key", grown_from(shards, grown), "grown_shard")
+    rows = cut_lineage(placed.drop("_key"))
     pieces = 4 * int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
     cut = rows.withColumn("_piece", F.pmod(F.xxhash64("doc_id", "text_crc32", "size"), F.lit(pieces)).cast("int"))
     sizes = cut.groupBy("shard", "_piece").agg(F.count("*").alias("_n"))
