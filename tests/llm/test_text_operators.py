@@ -239,6 +239,52 @@ def test_secret_structures():
     assert secrets.spans_of(spread) == []
 
 
+def kinds_in(text):
+    return [(k, text[a:b]) for a, b, k in secrets.spans_of(text) if k not in secrets.BASE_KINDS]
+
+
+def test_secrets_are_decoded_first():
+    armour = f"-----BEGIN PRIVATE KEY-----\n{b64(PKCS8)}\n-----END PRIVATE KEY-----\n"
+    lines = "\n".join(b64(RSA)[i : i + 64] for i in range(0, len(b64(RSA)), 64))
+    url = base64.urlsafe_b64encode(der(0x30, der(2, b"\x00"), *[der(2, b"\xfb\xef\xbe\xff" * 9)] * 8)).decode()
+    assert "-" in url and "_" in url
+    spaced = base64.urlsafe_b64encode(b'{ "alg": "HS256" }').decode().rstrip("=")
+    broken = base64.urlsafe_b64encode(b'\n{\n"alg":"HS256"}').decode().rstrip("=")
+    tail = jwt({"alg": "x"}).split(".", 1)[1]
+    assert kinds_in(f"data: {b64(armour.encode())} end") == [("wrapped", b64(armour.encode()))]
+    assert kinds_in(f"key:\n  {lines}\nend") == [("der", lines)]
+    assert kinds_in("key:\n" + lines.replace("\n", " \r\n\t") + " .") == [("der", lines.replace("\n", " \r\n\t"))]
+    assert kinds_in(f"key {lines}".replace("\n", "\\n")) == [("der", lines.replace("\n", "\\n"))]
+    assert kinds_in(f"u={url} x") == [("der", url)]
+    for front in ("/", "Q", "/Qx", "Qxyz", "path/to/"):
+        (kind, found), = kinds_in(f"see {front}{b64(RSA)} end")
+        assert kind == "der" and found.rstrip("=").endswith(b64(RSA).rstrip("=")) and len(found) <= len(b64(RSA)) + 1
+    assert kinds_in(f"ssh {SSH.hex()} end") == [("hexkey", SSH.hex())]
+    assert kinds_in(f"odd a{RSA.hex()} end") == [("hexkey", RSA.hex())]
+    assert kinds_in(f"odd a{RSA.hex()}bcd end") == [("hexkey", RSA.hex())]
+    nested = b64(RSA.hex().encode())
+    assert kinds_in(f"twice {nested} end") == [("wrapped", nested)]
+    assert kinds_in(f"thrice {b64(nested.encode())} end") == [("wrapped", b64(nested.encode()))]
+    assert kinds_in(f"four {b64(b64(nested.encode()).encode())} end") == []  # deeper than is looked
+    for token in (f"{spaced}.{tail}", f"{broken}.{tail}", jwt({"alg": "HS256"})):
+        assert kinds_in(f"t {token} e") == [("jwt", token)]
+        assert kinds_in(f"t id_{token} e") == [("jwt", token)] and kinds_in(f"t a.b.{token}.") == [("jwt", token)]
+    for decoy in (b64(bytes(range(256))), bytes(range(200)).hex(), b64(RSA)[:-8], "www.example-domain-name.org/some_long-path_name", "a" * 5000, f"{tail}.{tail}", b64(b"plain words, nothing else " * 9)):
+        assert kinds_in(f"x {decoy} y") == [], decoy
+    rng = np.random.default_rng(3)
+    for _ in range(40):
+        assert kinds_in(" ".join(b64(rng.bytes(200)) + rng.bytes(90).hex() for _ in range(5))) == []
+
+
+def test_secret_scan_is_linear_on_hostile_text():
+    import time
+
+    start = time.time()
+    for text in ("eyJ" * 300_000, "a" * 1_000_000, "ey.J." * 200_000, "A\n" * 300_000, ("M" * 64 + "\n") * 15_000, "30820001" * 120_000, "eyJhIjp7" * 20_000 + ".e30."):
+        secrets.spans_of(text)
+    assert time.time() - start < 60
+
+
 def plain_spans(text):
     rules = [("assign", r"""((?:[pP][aA][sS][sS][wW][oO][rR][dD]|[pP][aA][sS][sS][wW][dD]|[sS][eE][cC][rR][eE][tT]|[tT][oO][kK][eE][nN]|[aA][pP][iI]_?[kK][eE][yY]))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", 12, 2),
              ("access", r"AKIA[A-Z0-9]+", 18, 0), ("hex", r"[0-9a-f]+", 16, 0)]
