@@ -1,3 +1,5 @@
+import random
+
 import numpy as np
 import pytest
 from pyspark.sql import functions as F
@@ -162,3 +164,54 @@ def test_accepted_epochs_equal_a_walk(spark, block):
                 want.append((r, e + 1, s))
     assert sorted(tuple(r) for r in monitors.improvements(df, delta, block).collect()) == want
     assert monitors.improvements(df.limit(0), delta, block).count() == 0
+
+
+@pytest.mark.parametrize("seed", [1, 2])
+def test_late_epochs_give_the_batch_result(spark, tmp_path, seed):
+    runs = random_runs()
+    rows = [(k, e, float(s)) for k, scores in runs.items() for e, s in enumerate(scores, 1)]
+    random.Random(seed).shuffle(rows)
+    source = str(tmp_path / "in")
+    schema = "run_id string, epoch int, score double"
+    for i in range(7):
+        part = rows[i::7] + (rows[:3] if i == 6 else [])  # some rows come twice
+        spark.createDataFrame(part, schema).coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema(schema).option("maxFilesPerTrigger", 1).parquet(source)
+    events = running.run_to_files(running.run_events(stream, patience=3, min_epochs=5), str(tmp_path / "out")).collect()
+    stops = {r.run_id: r.epoch for r in events if r.reason == "early_stop"}
+    assert stops == {k: stop_by_loop(v, 3, 1e-4, 5) for k, v in runs.items() if stop_by_loop(v, 3, 1e-4, 5)}
+    assert {r.run_id: r.epoch for r in events if r.reason == "collapsed"} == {k: collapse_by_loop(v) for k, v in runs.items() if collapse_by_loop(v)}
+
+
+def test_repeated_batches_replace_themselves(spark, tmp_path):
+    rng = np.random.default_rng(5)
+    rows = [(int(c), float(p), int(g)) for c, p, g in zip(rng.integers(0, 5, 300), rng.random(300), rng.integers(0, 2, 300))]
+    source, path = str(tmp_path / "in"), str(tmp_path / "out")
+    for i in range(3):
+        spark.createDataFrame(rows[i::3], "case_id int, prob double, gt int").coalesce(1).write.mode("append").parquet(source)
+    stream = spark.readStream.schema("case_id int, prob double, gt int").option("maxFilesPerTrigger", 1).parquet(source)
+    written = running.run_updates(running.running_sums(stream), path)
+    assert written.select("version").distinct().count() == 3
+    # the last batch once more, as after a failure between sink and checkpoint
+    last = spark.createDataFrame(written.where("version = 2").drop("version").collect(), written.drop("version").schema)
+    last.write.mode("overwrite").parquet(f"{path}/rows/version=2")
+    from voxframe.operators.overlap import fast_dice
+
+    want = {r.case_id: (r.dice_hard, r.dice_soft) for r in fast_dice(spark.createDataFrame(rows, "case_id int, prob double, gt int")).collect()}
+    got = {r.case_id: (r.dice_hard, r.dice_soft) for r in running.latest_dice(spark.read.parquet(f"{path}/rows")).collect()}
+    assert set(got) == set(want) and all(got[c] == pytest.approx(want[c]) for c in want)
+
+
+def test_buckets_join_without_a_shuffle(spark, tmp_path):
+    from voxframe.sources import tables
+
+    left = spark.range(500).selectExpr("id % 40 as case_id", "id as v")
+    right = spark.range(40).selectExpr("id as case_id", "id * 2 as w")
+    a, b = (tables.write_bucketed(d, str(tmp_path / f"{n}_{tmp_path.name}"), 4) for n, d in (("left", left), ("right", right)))
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        joined = a.join(b, "case_id").groupBy("case_id").agg(F.sum("v").alias("v"), F.max("w").alias("w"))
+        assert "Exchange" not in joined._jdf.queryExecution().executedPlan().toString()
+        assert sorted(tuple(r) for r in joined.collect()) == sorted((c, sum(range(c, 500, 40)), 2 * c) for c in range(40))
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")

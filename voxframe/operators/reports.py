@@ -9,6 +9,7 @@ from pyspark.sql import DataFrame, functions as F
 from ..functions.scalars import SIZE_CLASSES
 from .skew import exact_quantiles
 
+# Metrics of the reports.
 STRATA_METRICS = ("dice_3d", "iou_3d", "sensitivity_3d", "precision_3d", "hd95_3d", "asd_3d")
 DELTA_METRICS = ("dice_3d", "iou_3d", "sensitivity_3d", "precision_3d", "hd95_3d", "asd_3d", "fp_components")
 

@@ -85,12 +85,13 @@ def stream_of(df, name: str, parts: list[str], per_batch: int = 8):
  case when psf = 0 and g = 0 then 1.0 when psf = 0 or g = 0 then 0.0 else 2.0 * isf / (psf + g) end as dice_soft from s"""))
 def _(spark, sf):
     stream = stream_of(fx.scored_voxels(spark, sf), "voxels", ["z < 4", "z >= 4"])
-    written = running.run_to_files(running.running_sums(stream), scratch_path(spark, "running-dice"))
+    written = running.run_updates(running.running_sums(stream), scratch_path(spark, "running-dice"))
     return running.latest_dice(written)
 
 
 def run_events(spark, sf):
-    stream = stream_of(history(spark, sf), "history", ["epoch <= 20", "epoch > 20"])
+    # late rows: two thirds of the epochs come after later ones
+    stream = stream_of(history(spark, sf), "history", ["epoch % 3 = 2", "epoch % 3 = 0", "epoch % 3 = 1"])
     events = running.run_events(stream, PATIENCE, min_epochs=MIN_EPOCHS, min_peak=PEAK)
     return running.run_to_files(events, scratch_path(spark, "run-events"))
 
@@ -124,3 +125,11 @@ def _(spark, sf):
     volume_files.write_volumes(volumes(spark, sf).withColumns({f"s{a}": F.lit(1.0) for a in "xyz"}), path)
     h = volume_files.read_headers(spark, path)
     return h.where("error is null").select("case_id", F.col("shape")[0].alias("height"), F.col("shape")[1].alias("width"), F.col("shape")[2].cast("bigint").alias("depth"), F.col("spacing")[2].alias("spacing_z"))
+
+
+@query("src04_bucketed_join", with_ctes(fx.F2, fx.F3, body="select f2.case_id, count(*) as n_slices, cast(sum(n_pos) as bigint) as n_pos, max(volume) as volume from f2 join f3 on f3.case_id = f2.case_id group by 1"))
+def _(spark, sf):
+    """Two tables stored in buckets of cases, joined and grouped without a shuffle."""
+    slices = tables.write_bucketed(fx.slices(spark, sf), scratch_path(spark, "bucketed-slices"), 8)
+    stats = tables.write_bucketed(fx.case_stats(spark, sf), scratch_path(spark, "bucketed-stats"), 8)
+    return slices.join(stats, "case_id").groupBy("case_id").agg(F.count("*").alias("n_slices"), F.sum("n_pos").alias("n_pos"), F.max("volume").alias("volume"))

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import re
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 METADATA = (
@@ -22,6 +24,20 @@ def write_slices(slices: DataFrame, path: str) -> None:
     ranged.write.mode("overwrite").partitionBy("split").parquet(path)
 
 
+def write_bucketed(rows: DataFrame, path: str, buckets: int, *order: str) -> DataFrame:
+    """``rows`` as a table in ``buckets`` by case, sorted inside, and the table.
+
+    Tables with the same number of buckets join and group by case without a shuffle.
+    Choose it so that a bucket fits a task; a case that is larger than that should stay in
+    a plain table, since all its rows share a bucket. The name is taken from the folder.
+    """
+    name = re.sub(r"[^a-z0-9]", "_", path.rstrip("/").rsplit("/", 1)[-1].lower())
+    # one file a bucket
+    dealt = rows.repartition(buckets, "case_id")
+    dealt.write.mode("overwrite").bucketBy(buckets, "case_id").sortBy("case_id", *order).option("path", path).saveAsTable(name)
+    return rows.sparkSession.table(name)
+
+
 def read_slices(spark: SparkSession, path: str, split: str | None = None, first: int | None = None, last: int | None = None) -> DataFrame:
     """Any subset; the split prunes folders and the slice range row groups."""
     rows = spark.read.parquet(path)

@@ -1,7 +1,9 @@
 """Running Dice sums and run monitors on streams.
 
-State is a handful of numbers per key. Results go to an append-only file sink,
-which is exactly-once, and readers take the latest row per key.
+The sums are Spark's own streaming aggregation, written batch by batch into a folder
+named after the batch, so that a repeated batch replaces itself. The monitors depend
+on the order of epochs: a run's rows wait in its state until the epochs before them
+have come, so rows may arrive late and in any order.
 """
 
 from __future__ import annotations
@@ -11,84 +13,91 @@ import pandas as pd
 from pyspark.sql import DataFrame, functions as F
 from pyspark.sql.streaming.state import GroupStateTimeout
 
-from ..operators.overlap import finish_fast_dice
+from ..operators.overlap import fast_dice_sums, finish_fast_dice
 
 SUMS = ("inter_hard", "pred_hard", "inter_soft", "pred_soft", "gt_sum")
-SALTS = 16
 
 
 def running_sums(stream: DataFrame, threshold: float = 0.5) -> DataFrame:
-    """Per case and salt the sums so far, with a rising ``version``.
-
-    The salt spreads one busy case over several states; the reader adds them.
-    """
-    rows = stream.select("case_id", "prob", "gt", F.pmod(F.xxhash64("x", "y", "z"), F.lit(SALTS)).cast("int").alias("salt"))
-    fields = ", ".join(f"{s} double" for s in SUMS)
-
-    def update(key, frames, state):
-        total = np.array(state.get[1:]) if state.exists else np.zeros(len(SUMS))
-        version = state.get[0] if state.exists else 0
-        for pdf in frames:
-            p, g = pdf["prob"].to_numpy(dtype=float), pdf["gt"].to_numpy(dtype=float)
-            hard = (p > threshold).astype(float)
-            total = total + [(hard * g).sum(), hard.sum(), (p * g).sum(), p.sum(), g.sum()]
-        state.update((version + 1, *map(float, total)))
-        yield pd.DataFrame([(*key, version + 1, *total)], columns=["case_id", "salt", "version", *SUMS])
-
-    kind = stream.schema["case_id"].dataType.simpleString()
-    return rows.groupBy("case_id", "salt").applyInPandasWithState(
-        update, f"case_id {kind}, salt int, version bigint, {fields}", f"version bigint, {fields}", "append", GroupStateTimeout.NoTimeout
-    )
+    """Per case the sums so far; rows of a busy case are added up in every task first."""
+    return stream.groupBy("case_id").agg(*fast_dice_sums(threshold))
 
 
 def latest_dice(rows: DataFrame) -> DataFrame:
-    """Hard and soft Dice per case from the written sums."""
-    newest = rows.groupBy("case_id", "salt").agg(F.max_by(F.struct(*SUMS), "version").alias("s")).select("case_id", "s.*")
-    return finish_fast_dice(newest.groupBy("case_id").agg(*[F.sum(s).alias(s) for s in SUMS]))
+    """Hard and soft Dice per case from the last written sums."""
+    newest = rows.groupBy("case_id").agg(F.max_by(F.struct(*SUMS), "version").alias("s")).select("case_id", "s.*")
+    return finish_fast_dice(newest)
 
 
 def run_events(stream: DataFrame, patience: int = 10, min_delta: float = 1e-4, min_epochs: int = 15,
-               min_peak: float = 0.10, collapse_patience: int = 3, tolerance: float = 1e-6) -> DataFrame:
+               min_peak: float = 0.10, collapse_patience: int = 3, tolerance: float = 1e-6, first_epoch: int = 1) -> DataFrame:
     """One ``(run_id, reason, epoch)`` row when a run first stops early or collapses.
 
-    Rows carry ``run_id, epoch, score``. A micro-batch may hold several epochs
-    of a run; the source's rate limit bounds how many.
+    Rows carry ``run_id, epoch, score``; epochs count on from ``first_epoch``. The state
+    of a run holds the rows that are ahead of a gap, a row that came before is ignored,
+    and an epoch that never comes holds the run's events back.
     """
-
     def update(key, frames, state):
-        best, counter, armed, zeros, stopped, collapsed = state.get if state.exists else (-np.inf, 0, False, 0, False, False)
-        rows = pd.concat(list(frames)).sort_values("epoch")
+        start = (first_epoch, -np.inf, 0, False, 0, False, False, [], [])
+        due, best, counter, armed, zeros, stopped, collapsed, epochs, scores = state.get if state.exists else start
+        waiting = dict(zip(epochs, scores))
+        for pdf in frames:
+            for epoch, score in zip(pdf["epoch"].tolist(), pdf["score"].tolist()):
+                if epoch >= due:
+                    waiting.setdefault(epoch, score)
         found = []
-        for epoch, score in zip(rows["epoch"].tolist(), rows["score"].tolist()):
+        while due in waiting:
+            score = waiting.pop(due)
             if score > best + min_delta:
                 best, counter = score, 0
             else:
                 counter += 1
-                if not stopped and counter >= patience and epoch >= min_epochs:
+                if not stopped and counter >= patience and due >= min_epochs:
                     stopped = True
-                    found.append(("early_stop", epoch))
+                    found.append(("early_stop", due))
             armed = armed or score > min_peak
             if armed:
                 zeros = zeros + 1 if score <= tolerance else 0
                 if not collapsed and zeros >= collapse_patience:
                     collapsed = True
-                    found.append(("collapsed", epoch))
-        state.update((float(best), counter, armed, zeros, stopped, collapsed))
+                    found.append(("collapsed", due))
+            due += 1
+        held = sorted(waiting)
+        state.update((due, float(best), counter, armed, zeros, stopped, collapsed, held, [float(waiting[e]) for e in held]))
         yield pd.DataFrame([(*key, reason, epoch) for reason, epoch in found], columns=["run_id", "reason", "epoch"])
 
     kind = stream.schema["run_id"].dataType.simpleString()
-    return stream.select("run_id", "epoch", "score").groupBy("run_id").applyInPandasWithState(
-        update, f"run_id {kind}, reason string, epoch int", "best double, counter int, armed boolean, zeros int, stopped boolean, collapsed boolean",
+    return stream.select("run_id", F.col("epoch").cast("int").alias("epoch"), F.col("score").cast("double").alias("score")).groupBy("run_id").applyInPandasWithState(
+        update, f"run_id {kind}, reason string, epoch int",
+        "due int, best double, counter int, armed boolean, zeros int, stopped boolean, collapsed boolean, epochs array<int>, scores array<double>",
         "append", GroupStateTimeout.NoTimeout,
     )
 
 
-def run_to_files(result: DataFrame, path: str, timeout: int | None = None) -> DataFrame:
-    """Process what is available, then read the sink back; ``timeout`` in seconds, none by default."""
-    query = result.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).start(f"{path}/rows")
+def _finish(query, timeout: int | None) -> None:
     if timeout is None:
         query.awaitTermination()
     elif not query.awaitTermination(timeout):
         query.stop()
         raise TimeoutError("stream did not finish")
+
+
+def run_updates(result: DataFrame, path: str, timeout: int | None = None) -> DataFrame:
+    """Process what is available of an aggregation, each batch's changed rows into a folder ``version=<batch>`` of their own.
+
+    A batch that is repeated after a failure overwrites its folder. Reads the folders back.
+    """
+    def write(rows: DataFrame, batch: int) -> None:
+        rows.write.mode("overwrite").parquet(f"{path}/rows/version={batch}")
+
+    query = result.writeStream.outputMode("update").option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).foreachBatch(write).start()
+    _finish(query, timeout)
+    schema = result.schema.add("version", "long")
+    return result.sparkSession.read.schema(schema).parquet(f"{path}/rows")
+
+
+def run_to_files(result: DataFrame, path: str, timeout: int | None = None) -> DataFrame:
+    """Process what is available, then read the sink back; ``timeout`` in seconds, none by default."""
+    query = result.writeStream.format("parquet").outputMode("append").option("checkpointLocation", f"{path}/_state").trigger(availableNow=True).start(f"{path}/rows")
+    _finish(query, timeout)
     return result.sparkSession.read.schema(result.schema).parquet(f"{path}/rows")
