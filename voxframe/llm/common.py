@@ -6,6 +6,7 @@ yields on UTF-8 bytes.
 
 from __future__ import annotations
 
+import ctypes
 import sys
 import types
 from collections.abc import Callable, Sequence
@@ -55,6 +56,19 @@ def word_hashes(limit: int = 200_000) -> WordHashes:
     return cache
 
 
+def hand_back() -> None:
+    """Give up the word hashes and return freed memory to the system.
+
+    A worker that waits for its next task otherwise keeps what its last one needed at most.
+    """
+    process_state("word_hashes", WordHashes).clear()
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (OSError, AttributeError):  # another C library
+        pass
+
+
 def mix(h: np.ndarray) -> np.ndarray:
     """A bijective finish that spreads every bit."""
     h = (h ^ (h >> np.uint64(30))) * np.uint64(0xBF58476D1CE4E5B9)
